@@ -2,55 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacewing.plans.tables import settle, shared_dir
+
 #: A null doc_id counts as the largest id of all; it is given back as null.
 NO_ID = (1 << 63) - 1
-WORD = r"[^\x20\x09-\x0D]+"
-_written: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lacewing-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, so a lost executor costs no recomputation
-    of earlier stages, and the shuffle files of those stages can go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lacewing-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written[path] = spark
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _sweep() -> None:
-    for path, spark in _written.items():
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
-            return
-
-
-atexit.register(_sweep)
 
 
 def id_or_last(name: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, packing, quality_rules, token_counts
+from . import chat_format, decontamination, near_dedup, packing, quality_rules, substring_dedup, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.crc32_of(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), width=2)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     chats = chat_format.format_chats(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
@@ -45,8 +54,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_packing, op7_chat_format, op8_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_packing, op4_substring_dedup, op6_near_dedup, op7_chat_format, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op2_decontamination": decontamination.SQL, "op7_chat_format": chat_format.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op2_decontamination": decontamination.SQL, "op4_substring_dedup": substring_dedup.SQL, "op6_near_dedup": near_dedup.SQL, "op7_chat_format": chat_format.SQL}
