@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lacewing.plans.tables import settle, shared_dir
 
@@ -30,7 +31,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_or_last(id_col).alias("did"), F.xxhash64(F.col(text_col)).alias("tkey"), F.col(text_col).cast("string").alias("text"))
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | list[dict] | dict], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | list[dict] | dict], schema: str | StructType) -> DataFrame:
     """mapInArrow for functions that give dicts of columns for a batch."""
     to = arrow_schema(schema)
 
@@ -43,11 +44,10 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | list
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
+def arrow_schema(kind: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return to_arrow_schema(StructType.fromDDL(kind) if isinstance(kind, str) else kind)
 
 
 def as_arrow(values, kind: pa.DataType) -> pa.Array:

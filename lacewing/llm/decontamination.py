@@ -15,12 +15,14 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow_map, settle
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to lower case; what parts words to a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+RUNS = "array<struct<a:int,b:int>>"
 _built: dict[int, object] = {}
 
 
@@ -74,20 +76,23 @@ def merged(runs) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, share: int = 20, block_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, share: int = 20, block_bytes: int = 64 << 20, rows: bool = False) -> DataFrame:
     """For each document: doc_id, n_words, n_hit, items (sorted ids), spans of the hit words as (start, end) in characters of
-    the original text, and contaminated: n_hit > 0 and share * n_hit >= n_words."""
+    the original text, and contaminated: n_hit > 0 and share * n_hit >= n_words. rows: carry the document's own row along as
+    the struct `row`."""
     spark = docs.sparkSession
     cut = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("raw"))
     windows = settle(arrow_map(cut, lambda b: _windows(b, size), "item long, win binary").groupBy("win").agg(F.collect_set("item").alias("items")))
     total = windows.agg(F.sum(F.length("win") + 8 * F.size("items"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"), F.lit(None).cast("array<long>").alias("found"))
+    kept = [F.struct("*").alias("row")] if rows else []
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(RUNS).alias("runs"), F.array().cast("array<long>").alias("found"), *kept)
     for k in range(blocks):
         own = windows.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k) if blocks > 1 else windows
         patterns = spark.sparkContext.broadcast([(bytes(w), tuple(i)) for w, i in own.toLocalIterator()])
-        out = arrow_map(out, _Scanner(patterns), "doc_id long, text string, n_words long, runs array<struct<a:int,b:int>>, found array<long>").select("doc_id", "text", "runs", "found", "n_words")
-    out = arrow_map(out, _spans, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>")
+        out = arrow_map(out, _Scanner(patterns), out.schema)
+    held = [f for f in out.schema.fields if f.name in ("doc_id", "n_words", "row")]
+    out = arrow_map(out, _spans, StructType([*held, *StructType.fromDDL("n_hit long, items array<long>, spans array<struct<start:int,end:int>>").fields]))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -113,7 +118,7 @@ class _Scanner:
             n.append(words)
             runs.append([{"a": a, "b": b} for a, b in (merged([*((x["a"], x["b"]) for x in old), *hit]) if old else hit)])
             found.append(sorted({*(had or []), *items}))
-        return {"doc_id": batch["doc_id"], "text": batch["text"], "n_words": n, "runs": runs, "found": found}
+        return {k: batch[k] for k in batch.schema.names} | {"n_words": n, "runs": runs, "found": found}
 
 
 def _spans(batch):
@@ -122,7 +127,7 @@ def _spans(batch):
         at = [(m.start(), m.end()) for m in WORDS.finditer(text)] if runs else []
         out["n_hit"].append(sum(x["b"] - x["a"] for x in runs))
         out["spans"].append([{"start": at[x["a"]][0], "end": at[x["b"] - 1][1]} for x in runs])
-    return {"doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_hit": out["n_hit"], "items": batch["found"], "spans": out["spans"]}
+    return {k: batch[k] for k in batch.schema.names} | {"n_hit": out["n_hit"], "items": batch["found"], "spans": out["spans"]}
 
 
 SQL = r"""

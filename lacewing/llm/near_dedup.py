@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from lacewing.plans.graph import components
 
-from .common import LOWER, arrow_map, id_or_null, mixed, rolled, settle, texts, unpack, word_hashes, words_of
+from .common import LOWER, arrow_map, id_or_last, id_or_null, mixed, rolled, settle, texts, unpack, word_hashes, words_of
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 60_000  # shingles hashed at once: they stay in the cache
-CLASS = "did long, sid binary, n long, sig binary, z binary, size long"
+CLASS = "did long, tkey long, sid binary, n long, sig binary, z binary, size long"
 
 
 def distance_bound(hashes: int, similarity: float, miss: float = 1e-6) -> int:
@@ -77,7 +77,7 @@ def _facts(width, hashes):
                 n += len(sets[-1])
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full, hashes)) if full else iter(())
-            yield {"did": batch["did"][at : at + len(sets)], "n": list(map(len, sets)), "sid": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "sig": [next(sig).tobytes() if len(s) else None for s in sets], "z": [pa.compress(b, codec="zstd", asbytes=True) for b in blobs], "size": list(map(len, blobs))}
+            yield {"did": batch["did"][at : at + len(sets)], "tkey": batch["tkey"][at : at + len(sets)], "n": list(map(len, sets)), "sid": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "sig": [next(sig).tobytes() if len(s) else None for s in sets], "z": [pa.compress(b, codec="zstd", asbytes=True) for b in blobs], "size": list(map(len, blobs))}
             at += len(sets)
 
     return run
@@ -182,17 +182,29 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
     return components(found.union(more), "a", "b")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hashes: int = 96) -> DataFrame:
-    """For each document: doc_id, n_shingles (size of its set), component_id (the smallest doc_id of its group) and kept
-    (whether it is that one). Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; sets are linked whose intersection is
-    at least percent of their union."""
+def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hashes: int) -> DataFrame:
+    """did, tkey, n_shingles and group of each document."""
     facts = settle(arrow_map(texts(docs, id_col, text_col), _facts(width, hashes), CLASS))
     first = settle(facts.where("n > 0").groupBy("sid").agg(F.min("did").alias("first")))
     classes = settle(facts.join(first, "sid").where("did = first").select("did", "sig", "z", "size").dropDuplicates(["did"]))
     comp = settle(class_links(classes, width, percent, hashes))
-    group = F.coalesce("component", "first", "did")
-    out = facts.select("did", "n", "sid").join(first.join(comp.withColumnRenamed("node", "first"), "first", "left"), "sid", "left")
-    return out.select(id_or_null("did").alias("doc_id"), F.col("n").alias("n_shingles"), id_or_null(group).alias("component_id"), (F.col("did") == group).alias("kept"))
+    out = facts.select("did", "tkey", "n", "sid").join(first.join(comp.withColumnRenamed("node", "first"), "first", "left"), "sid", "left")
+    return out.select("did", "tkey", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "did").alias("group"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hashes: int = 96) -> DataFrame:
+    """For each document: doc_id, n_shingles (size of its set), component_id (the smallest doc_id of its group) and kept
+    (whether it is that one). Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; sets are linked whose intersection is
+    at least percent of their union."""
+    out = near_groups(docs, id_col, text_col, width, percent, hashes)
+    return out.select(id_or_null("did").alias("doc_id"), "n_shingles", id_or_null("group").alias("component_id"), (F.col("did") == F.col("group")).alias("kept"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hashes: int = 96) -> DataFrame:
+    """docs without the documents of a group that are not its smallest doc_id."""
+    gone = near_groups(docs, id_col, text_col, width, percent, hashes).where("did <> group").select(F.col("did").alias("_did"), F.col("tkey").alias("_tkey"))
+    keys = docs.withColumns({"_did": id_or_last(id_col), "_tkey": F.xxhash64(text_col)})
+    return keys.join(gone, ["_did", "_tkey"], "left_anti").select(*docs.columns)
 
 
 SQL = r"""

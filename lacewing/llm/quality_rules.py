@@ -35,15 +35,15 @@ def covered(hashed: Column, window: int = 3) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host and the rules' measures of each document, from its whole text."""
+    """doc_id, host and the rules' measures of each document, from its whole text, and its row as a struct."""
     ws = " \t\n\x0b\x0c\r"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"), F.struct("*").alias("row"))
     bare = F.btrim(F.col("text"), F.lit(ws))
-    df = df.select("doc_id", "host", "text", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE)).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(ws)) != "").alias("lines"))
-    df = df.select("doc_id", "host", "text", F.size("words").cast("long").alias("n_words"), "lines", repeated_words(F.col("words")).alias("windows"))
+    df = df.select("doc_id", "host", "row", "text", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE)).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(ws)) != "").alias("lines"))
+    df = df.select("doc_id", "host", "row", "text", F.size("words").cast("long").alias("n_words"), "lines", repeated_words(F.col("words")).alias("windows"))
     return df.select(
-        "doc_id", "host", "n_words",
+        "doc_id", "host", "row", "n_words",
         (F.length("text") - F.length(F.regexp_replace("text", r"[^\x20\x09-\x0D]", ""))).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -52,14 +52,16 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rate_limit: float = 0.3, prior_limit: float = 1000.0) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rate_limit: float = 0.3, prior_limit: float = 1000.0, rows: bool = False) -> DataFrame:
     """One row for each document: its measures, base_failed, soft_failed, host_rejected and kept.
 
     Soft rules: symbols over a tenth of the characters in words; over half the lines repeated; words of under 2 or over 15
     characters on average. A host whose shrunk rate of soft failures is over rate_limit is rejected: of its documents those
-    go that fail a soft rule themselves. prior_limit bounds the weight of the prior, in documents.
+    go that fail a soft rule themselves. prior_limit bounds the weight of the prior, in documents. rows: carry the document's
+    own row along as the struct `row`, so that no join brings it back.
     """
     facts = measure(docs, id_col, text_col, host_col)
+    facts = facts if rows else facts.drop("row")
     n, soft = F.col("n_words"), (10 * F.col("n_symbols") > F.col("word_chars")) | (2 * F.col("n_dup_lines") > F.col("n_lines")) | (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))
     facts = settle(facts.withColumns({"base_failed": (n < 50) | (100 * F.col("n_repeat_words") > 50 * n), "soft_failed": soft & (n > 0)}))
     hosts = settle(facts.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("soft_failed").cast("long")).alias("failed")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, lm_score, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
+from . import chat_format, decontamination, language_id, lm_score, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha256")).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"), width=2)
 
@@ -63,7 +67,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_packing, op4_substring_dedup, op6_near_dedup, op7_chat_format, op8_token_counts, op9_suffix_dedup, op10_lm_score)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_packing, op4_substring_dedup, op5_language_id, op6_near_dedup, op7_chat_format, op8_token_counts, op9_suffix_dedup, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
