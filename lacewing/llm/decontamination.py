@@ -10,6 +10,7 @@ larger benchmark is scanned block after block, each pass adding its spans.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -19,11 +20,12 @@ from pyspark.sql.types import StructType
 
 from .common import arrow_map, settle
 
-WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of the original text, before A-Z are lowered.
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: A-Z to lower case; what parts words to a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 RUNS = "array<struct<a:int,b:int>>"
-_built: dict[int, object] = {}
+_built: dict[str, object] = {}
 
 
 def normal_words(raw: bytes | None) -> list[bytes]:
@@ -103,13 +105,13 @@ def _windows(batch, size):
 
 class _Scanner:
     def __init__(self, patterns):
-        self.patterns = patterns
+        self.patterns, self.name = patterns, uuid.uuid4().hex
 
     def __call__(self, batch):
         import pyarrow as pa
 
-        key = id(self.patterns.value)
-        if key not in _built:
+        key = self.name
+        if key not in _built:  # a worker keeps one automaton
             _built.clear()
             _built[key] = automaton(self.patterns.value)
         n, runs, found = [], [], []
