@@ -12,6 +12,7 @@ An empty table gives no rows. Other columns are not read. Memory: the pool, and
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import zlib
@@ -25,12 +26,15 @@ from pyspark.sql import functions as F
 from .common import arrow_schema
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
+STRETCH = 400_000  # words whose tokens are learnt at once
 _tokens: dict[str, WordTokens] = {}
 
 
 class WordTokens(dict):
     """The ids of each white-space word, as little-endian 32-bit bytes. Only for tokenizers that drop white space and never
-    join across it, so that a text's ids are its words' ids in a row. Starts anew at LIMIT words."""
+    join across it, so that a text's ids are its words' ids in a row; and, for the quick way of plain words, that lower case
+    and part letters from punctuation. Words go when there are LIMIT; runs of letters then become the old store, which is asked
+    before a run is tokenized again."""
 
     LIMIT = 300_000
 
@@ -39,24 +43,87 @@ class WordTokens(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path)
-
-    def of(self, text: str | None, end: int) -> np.ndarray:
-        # str.split parts at the white space of Unicode, as \s of the tokenizer does, and at \x1c-\x1f, which it keeps
-        words = (text or "").split() if not _CONTROL.intersection(text or "") else _SPACE.split(text)
-        fresh = list({w for w in words if w not in self})
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.plain = bool(self.last.any())
+        self.signs: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {}
+        self.old_letters: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(texts), 5000) for e in self.tokenizer.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
+
+    def _learn_letters(self, runs: list[str]) -> None:
+        """Runs of letters, many in one text: each ends where a pre-token ends."""
+        if len(self.letters) + len(runs) > 2 * self.LIMIT:
+            self.old_letters, self.letters = self.letters, {}
+        groups = [runs[k : k + 200] for k in range(0, len(runs), 200)]
+        for group, raw in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1
+            if len(ends) != len(group):
+                self.letters.update(zip(group, self._encoded(group), strict=True))
+                continue
+            at = 0
+            for run, end in zip(group, (4 * ends).tolist(), strict=True):
+                self.letters[run] = raw[at:end]
+                at = end
+
+    def learn(self, words: set[str]) -> None:
+        fresh = words.difference(self)
         if len(self) + len(fresh) > self.LIMIT:
             self.clear()
-            fresh = list(set(words))
-        for k in range(0, len(fresh), 10_000):
-            for w, e in zip(fresh[k : k + 10_000], self.encode.encode_batch(fresh[k : k + 10_000], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([*map(self.__getitem__, words), np.uint32(end).tobytes()]), "<u4")
+            fresh = words
+        known, old, signs, other, waiting = self.letters.get, self.old_letters.get, self.signs, [], []
+        for w in fresh:
+            if not (self.plain and (m := _PLAIN.fullmatch(w))):
+                other.append(w)
+                continue
+            run, sign = m[1].lower(), m[2]
+            if sign not in signs:
+                signs[sign] = self._encoded([sign])[0]
+            if (raw := known(run)) is not None:
+                self[w] = raw + signs[sign]
+            elif (raw := old(run)) is not None:
+                self.letters[run] = raw
+                self[w] = raw + signs[sign]
+            else:
+                waiting.append((w, run, sign))
+        if waiting:
+            self._learn_letters(list({run for _, run, _ in waiting}))
+            for w, run, sign in waiting:
+                self[w] = self.letters[run] + signs[sign]
+        self.update(zip(other, self._encoded(other), strict=True))
+
+    def of_all(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
+        """The ids of each text, with the end token."""
+        last, held, n = np.uint32(end).tobytes(), [], 0
+        for k, text in enumerate(texts):
+            held.append(_words(text, self.plain))
+            n += len(held[-1])
+            if n >= STRETCH or k == len(texts) - 1:
+                self.learn(set().union(*held))
+                get = self.get
+                yield from (np.frombuffer(b"".join([*map(get, w), last]), "<u4") for w in held)
+                held, n = [], 0
+
+
+def _words(text: str | None, plain: bool) -> list[str]:
+    """str.split parts at the white space of Unicode, as the tokenizer does, and at four control characters that it keeps."""
+    if not text:
+        return []
+    if plain and "<|" not in text:
+        with contextlib.suppress(UnicodeEncodeError):
+            text.encode("latin-1")  # for these characters, to lower case first changes nothing else
+            text = text.lower()
+    return _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
-_CONTROL = frozenset("\x1c\x1d\x1e\x1f")
 #: White_Space of Unicode, fixed values.
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Letters whose lower case is one letter, then signs.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#%&*()]{0,8})")
 
 
 class Packer:
@@ -154,8 +221,8 @@ def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
         rows, held = [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                for x in packer.add(doc, _tokens[tokenizer].of(text.as_py(), end)):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), _tokens[tokenizer].of_all(batch["text"].to_pylist(), end), strict=True):
+                for x in packer.add(doc, ids):
                     rows.append(x)
                     held += x[2]
                 if held >= 1 << 21:
