@@ -93,7 +93,7 @@ class RunQueue:
 def least_between(lcp: np.ndarray, blocks: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(lcp[lo + 1 : hi + 1]) of each pair; the ranges follow each other. blocks: least value of each full block."""
     first, last = int(lo[0]), int(hi[-1])
-    if last - first <= 64 * len(lo) + 65536:
+    if last - first <= 20_000 * len(lo) + 65536:
         return np.minimum.reduceat(lcp[first + 1 : last + 1], lo - first)
     out = np.empty(len(lo), lcp.dtype)
     for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
@@ -165,23 +165,30 @@ def _names(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> tuple[np.ndar
 
 
 def _doubling(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and common prefixes, in symbols, of a string that ends in its unique least symbol."""
+    """Suffix array and common prefixes, in symbols, of a string that ends in its unique least symbol. A rank is the place
+    of the first of its equals, so places that are alone stay as they are and only the others are sorted on."""
     m = len(names)
-    levels, rank, h = [names.astype(np.int32)], names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        sorted_rank = rank[order]
-        if (sorted_rank[1:] != sorted_rank[:-1]).all():
-            break
-        nxt = np.zeros(m, np.int64)
-        nxt[: max(0, m - h)] = rank[h:] + 1
-        key = rank * (m + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(m, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        levels.append(rank.astype(np.int32))
+    order = np.argsort(names.astype(np.uint16) if names.max(initial=0) < 1 << 16 else names, kind="stable")
+    sorted_names = names[order]
+    head = np.concatenate([[True], sorted_names[1:] != sorted_names[:-1]])
+    first = np.maximum.accumulate(np.where(head, np.arange(m), 0))
+    rank = np.empty(m, np.int32 if m < 1 << 31 else np.int64)
+    rank[order] = first
+    levels, h = [rank.copy()], 1
+    todo = np.flatnonzero(~(head & np.concatenate([head[1:], [True]])))  # places in order that share their rank
+    while len(todo):
+        pos, own = order[todo], first[todo]
+        nxt = np.where(pos + h < m, rank[np.minimum(pos + h, m - 1)].astype(np.int64) + 1, 0)
+        by = np.argsort(own * (m + 1) + nxt)
+        pos, own, nxt = pos[by], own[by], nxt[by]
+        head = np.concatenate([[True], (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])])
+        order[todo] = pos
+        own = np.maximum.accumulate(np.where(head, todo, 0))
+        first[todo] = own
+        rank[pos] = own
+        levels.append(rank.copy())
         h *= 2
+        todo = todo[~(head & np.concatenate([head[1:], [True]]))]
     a, b, common = order[:-1], order[1:], np.zeros(max(0, m - 1), np.int64)
     for k in range(len(levels) - 1, -1, -1):
         x, y = a + common, b + common

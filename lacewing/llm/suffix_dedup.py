@@ -204,10 +204,12 @@ def _remove(length):
         for i, z in enumerate(batch["z"]):
             data = np.frombuffer(unpack(z.as_py(), batch["size"][i].as_py()), np.uint8)
             gone = np.zeros(len(data) + 1, np.int32)
-            for part in batch["parts"][i].as_py():
-                for x in part["runs"]:
-                    gone[part["at"] + x["start"]] += 1
-                    gone[part["at"] + x["end"] - 1 + length] -= 1
+            parts = batch["parts"][i].values
+            runs = parts.field("runs")
+            at = np.repeat(parts.field("at").to_numpy(), np.diff(runs.offsets.to_numpy()))
+            flat = runs.flatten()
+            np.add.at(gone, at + flat.field("start").to_numpy(), 1)
+            np.add.at(gone, at + flat.field("end").to_numpy() - 1 + length, -1)
             gone = np.cumsum(gone[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
             yield {"wkey": [batch["wkey"][i].as_py()], "cut": [int(gone.sum())], "kept": [hashlib.sha256(data[~gone].tobytes()).digest()], "spans": [[{"start": int(a), "end": int(b)} for a, b in edge]]}
@@ -222,7 +224,7 @@ def suffix_spans(docs: DataFrame, id_col: str, text_col: str, length: int, shard
     """did, tkey, n_bytes, n_removed, kept_sha256 and spans of each document."""
     facts = settle(arrow_map(texts(docs, id_col, text_col), _facts, "did long, tkey long, sha binary, z binary, size long").withColumn("wkey", F.xxhash64("sha")))
     classes = settle(facts.where(F.col("size") >= length).groupBy("wkey").agg(F.count("*").alias("copies"), F.min(F.struct("did", "tkey")).alias("rep")).select("wkey", F.least("copies", F.lit(2)).cast("int").alias("copies"), "rep.did", "rep.tkey"))
-    anchors = arrow_map(facts.select("wkey", "z", "size"), _anchors(length), "h long, wkey long")
+    anchors = settle(arrow_map(facts.select("wkey", "z", "size"), _anchors(length), "h long, wkey long"))
     shared = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     flagged = settle(anchors.join(shared, "h", "left_semi").groupBy("wkey").agg(F.collect_set("h").alias("hashes")).join(classes, "wkey"))
     own = settle(facts.select("did", "tkey", "wkey", "z", "size").join(flagged, ["did", "tkey", "wkey"]).dropDuplicates(["did", "tkey", "wkey"]).select("wkey", "copies", "z", "size", "hashes"))
@@ -236,14 +238,14 @@ def suffix_spans(docs: DataFrame, id_col: str, text_col: str, length: int, shard
     return out.select("did", "tkey", "n_bytes", F.coalesce("cut", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, shard_bytes: int = 4 << 20, memory: int = 256 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, memory: int = 256 << 20) -> DataFrame:
     """For each document: doc_id, n_bytes, n_removed, kept_sha256 (binary digest of the remaining bytes) and spans, the
     maximal runs of removed bytes as (start, end) in its UTF-8 text."""
     out = suffix_spans(docs, id_col, text_col, length, shard_bytes, memory)
     return out.select(id_or_null("did").alias("doc_id"), "n_bytes", "n_removed", "kept_sha256", "spans")
 
 
-def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, shard_bytes: int = 4 << 20, memory: int = 256 << 20) -> DataFrame:
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, memory: int = 256 << 20) -> DataFrame:
     """docs with the repeated bytes taken out of text_col; characters that lose some of their bytes go whole."""
     gone = suffix_spans(docs, id_col, text_col, length, shard_bytes, memory).where("n_removed > 0").select(F.col("did").alias("_did"), F.col("tkey").alias("_tkey"), F.col("spans").alias("_spans")).dropDuplicates(["_did", "_tkey"])
     keys = docs.withColumns({"_did": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_tkey": F.xxhash64(text_col)})
