@@ -7,7 +7,8 @@ meet are confirmed on their full sets; components of the confirmed links are the
 
 far is the 1 - 1e-6 quantile of the distance of two sets at the similarity asked for, so a link is missed by chance about
 once in a million. In a key's group, members are held against its least member first; only where that leaves more than one
-component under a key, members of different components meet too. So no group of copies is expanded into all its pairs.
+component under a key, members of different components meet too, unless they hold too few shingles that stand in more than
+one component: what two sets share does. So no group of copies is expanded into all its pairs.
 
 Equal sets are one class, which its smallest doc_id stands for. Null or empty text: an empty set, linked with nothing.
 A null doc_id counts as the largest. Repeated rows are copies. An empty table gives no rows. Other columns are not read.
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacewing.plans.graph import components
+from lacewing.plans.tables import discard
 
 from .common import LOWER, arrow_map, id_or_last, id_or_null, mixed, rolled, settle, texts, unpack, word_hashes, words_of
 
@@ -160,9 +162,22 @@ def _labelled(df: DataFrame, comp: DataFrame | None, column: str, label: str) ->
     return df.join(comp.toDF(column, "_c"), column, "left").withColumn(label, F.coalesce("_c", column)).drop("_c")
 
 
-def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> DataFrame | None:
-    """(node, component) of linked classes."""
-    links = Links(classes, width, percent, hashes)
+def _members(width):
+    """A row for each shingle of each text."""
+
+    def run(batch):
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            sets = [np.unique(shingles(words_of(unpack(z.as_py(), n)), width)) for z, n in zip(part["z"], part["size"].to_pylist(), strict=True)]
+            size = list(map(len, sets))
+            yield {"g": np.concatenate(sets).view("<i8"), "did": np.repeat(part["did"].to_numpy(), size), "c": np.repeat(part["c"].to_numpy(), size)}
+
+    return run
+
+
+def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> DataFrame:
+    """(node, component) of linked classes; classes: did, n, sig, z, size."""
+    links, full = Links(classes, width, percent, hashes), classes.select("did", "z", "size")
     stars = links.keys().groupBy("key").agg(F.min("did").alias("b"), F.max("did").alias("most")).where("b <> most").select("key", "b")
     members = settle(links.keys().join(settle(stars), "key"))  # key, did, b: the least member under the key
     pairs = settle(links.close(members.where("did <> b").select(F.col("did").alias("a"), "b").distinct()))
@@ -176,8 +191,16 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
     labelled = settle(_labelled(members.select("key", "did"), comp, "did", "c"))
     mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
     open_ = settle(labelled.join(mixed_keys, "key"))
-    left = open_.select("key", F.col("did").alias("a"), F.col("c").alias("ca"))
-    met = left.join(open_.select("key", F.col("did").alias("b"), F.col("c").alias("cb")), "key").where("ca < cb").select("a", "b").distinct()
+    # a link between components holds only shingles that stand in more than one of them; with so few, no link is possible
+    docs = settle(open_.select("did", "c").distinct().join(full, "did"))
+    shingle_rows = lambda: arrow_map(docs, _members(width), "g long, did long, c long")
+    common = settle(shingle_rows().groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g"))
+    shared = shingle_rows().join(common, "g", "left_semi").groupBy("did").agg(F.count("*").alias("s"))
+    sizes = settle(shared.join(classes.select("did", "n"), "did").where(F.expr(f"100 * s >= {percent} * n")))
+    left = open_.join(sizes, "did").select("key", F.col("did").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    right = left.toDF("key", "b", "cb", "nb", "sb")
+    enough = F.expr(f"{100 + percent} * least(sa, sb) >= {percent} * (na + nb)")
+    met = left.join(right, "key").where((F.col("ca") < F.col("cb")) & enough).select("a", "b").distinct()
     more = settle(links.confirmed(settle(links.close(met))))
     return components(found.union(more), "a", "b")
 
@@ -185,10 +208,12 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
 def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hashes: int) -> DataFrame:
     """did, tkey, n_shingles and group of each document."""
     facts = settle(arrow_map(texts(docs, id_col, text_col), _facts(width, hashes), CLASS))
-    first = settle(facts.where("n > 0").groupBy("sid").agg(F.min("did").alias("first")))
-    classes = settle(facts.join(first, "sid").where("did = first").select("did", "sig", "z", "size").dropDuplicates(["did"]))
+    listed = settle(facts.select("did", "tkey", "n", "sid"))
+    first = settle(listed.where("n > 0").groupBy("sid").agg(F.min("did").alias("first")))
+    classes = settle(facts.join(first, "sid").where("did = first").select("did", "n", "sig", "z", "size").dropDuplicates(["did"]))
+    discard(facts)
     comp = settle(class_links(classes, width, percent, hashes))
-    out = facts.select("did", "tkey", "n", "sid").join(first.join(comp.withColumnRenamed("node", "first"), "first", "left"), "sid", "left")
+    out = listed.join(first.join(comp.withColumnRenamed("node", "first"), "first", "left"), "sid", "left")
     return out.select("did", "tkey", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "did").alias("group"))
 
 
