@@ -80,7 +80,7 @@ def words_of(raw: bytes | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word as 8 bytes; starts anew at LIMIT words, so its memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> bytes:
         import hashlib

@@ -57,7 +57,7 @@ class WordTokens(dict):
 
     def _learn_letters(self, runs: list[str]) -> None:
         """Runs of letters, many in one text: each ends where a pre-token ends."""
-        if len(self.letters) + len(runs) > 2 * self.LIMIT:
+        if len(self.letters) + len(runs) > 6 * self.LIMIT // 5:
             self.old_letters, self.letters = self.letters, {}
         groups = [runs[k : k + 200] for k in range(0, len(runs), 200)]
         for group, raw in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
