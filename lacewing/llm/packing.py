@@ -132,7 +132,7 @@ class Packer:
     def __init__(self, first: int, tokens: int, segments: int, loss: int, pool: int):
         self.limits, self.pool, self.next = np.array([tokens, segments, loss], float), pool, first
         self.waiting: list[tuple] = []  # (doc, start, ids, doc_tokens)
-        self.demand = np.zeros((pool + 1, 3))
+        self.demand = np.zeros((pool + tokens + 1, 3))
 
     def add(self, doc, ids: np.ndarray, loss_from: int = 0) -> Iterator[tuple]:
         full, at, n = int(min(self.limits[0], self.limits[2])), 0, len(ids)
@@ -141,9 +141,12 @@ class Packer:
             at += full
         if at < n:
             self._wait((doc, at, ids[at:], n))
-            if len(self.waiting) >= self.pool:
+            if len(self.waiting) >= self.pool and self.tokens_waiting() >= full:  # less than a sequence waits for more
                 yield from self._fill()
 
+    def tokens_waiting(self) -> int:
+        return int(self.demand[: len(self.waiting), 0].sum())
+
     def _open(self) -> int:
         self.next += 1
         return self.next - 1
