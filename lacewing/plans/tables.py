@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+_passing: ContextVar[list[DataFrame] | None] = ContextVar("_passing", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,9 +36,32 @@ def settle(df: DataFrame) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if (scope := _passing.get()) is not None:
+        scope.append(out)
     return out
 
 
+@contextlib.contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that settle writes inside are deleted at the end. The function given settles a table that outlives it."""
+    outer, scope = _passing.get(), []
+    token = _passing.set(scope)
+
+    def kept(df: DataFrame) -> DataFrame:
+        out = settle(df)
+        scope.pop()
+        if outer is not None:
+            outer.append(out)
+        return out
+
+    try:
+        yield kept
+    finally:
+        _passing.reset(token)
+        for df in scope:
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that settle wrote and that nothing will read again."""
     path = getattr(df, "_written_to", None)
