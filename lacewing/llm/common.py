@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lacewing.plans.tables import settle, shared_dir
+from lacewing.plans.tables import discard, passing, settle, shared_dir
 
 #: A null doc_id counts as the largest id of all; it is given back as null.
 NO_ID = (1 << 63) - 1

@@ -8,7 +8,9 @@ meet are confirmed on their full sets; components of the confirmed links are the
 far is the 1 - 1e-6 quantile of the distance of two sets at the similarity asked for, so a link is missed by chance about
 once in a million. In a key's group, members are held against its least member first; only where that leaves more than one
 component under a key, members of different components meet too, unless they hold too few shingles that stand in more than
-one component: what two sets share does. So no group of copies is expanded into all its pairs.
+one component: what two sets share does. Such a meeting makes a pair only where the parities of the sets' shingles, counted
+by PARITY hash classes, differ in no more places than the sets themselves may: each place in which they differ holds a
+shingle of one set alone, so no link is lost. So no group of copies is expanded into all its pairs.
 
 Equal sets are one class, which its smallest doc_id stands for. Null or empty text: an empty set, linked with nothing.
 A null doc_id counts as the largest. Repeated rows are copies. An empty table gives no rows. Other columns are not read.
@@ -25,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacewing.plans.graph import components
-from lacewing.plans.tables import discard
 
-from .common import LOWER, arrow_map, id_or_last, id_or_null, mixed, rolled, settle, texts, unpack, word_hashes, words_of
+from .common import LOWER, arrow_map, discard, id_or_last, id_or_null, mixed, passing, rolled, settle, texts, unpack, word_hashes, words_of
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 60_000  # shingles hashed at once: they stay in the cache
-CLASS = "did long, tkey long, sid binary, n long, sig binary, z binary, size long"
+PARITY = 512  # hash classes of shingles whose parities a class carries
+CLASS = "did long, tkey long, sid binary, n long, sig binary, z binary, size long, odd array<long>"
 
 
 def distance_bound(hashes: int, similarity: float, miss: float = 1e-6) -> int:
@@ -65,6 +67,11 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     return out
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """Whether each hash class holds an odd number of a set's shingles, 64 classes to a number."""
+    return np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).view("<i8").tolist()
+
+
 def _facts(width, hashes):
     def run(batch):
         raw = batch["text"].cast(pa.binary())
@@ -79,7 +86,7 @@ def _facts(width, hashes):
                 n += len(sets[-1])
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full, hashes)) if full else iter(())
-            yield {"did": batch["did"][at : at + len(sets)], "tkey": batch["tkey"][at : at + len(sets)], "n": list(map(len, sets)), "sid": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "sig": [next(sig).tobytes() if len(s) else None for s in sets], "z": [pa.compress(b, codec="zstd", asbytes=True) for b in blobs], "size": list(map(len, blobs))}
+            yield {"did": batch["did"][at : at + len(sets)], "tkey": batch["tkey"][at : at + len(sets)], "n": list(map(len, sets)), "sid": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "sig": [next(sig).tobytes() if len(s) else None for s in sets], "z": [pa.compress(b, codec="zstd", asbytes=True) for b in blobs], "size": list(map(len, blobs)), "odd": list(map(parities, sets))}
             at += len(sets)
 
     return run
@@ -176,7 +183,7 @@ def _members(width):
 
 
 def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> DataFrame:
-    """(node, component) of linked classes; classes: did, n, sig, z, size."""
+    """(node, component) of linked classes; classes: did, n, sig, z, size, odd."""
     links, full = Links(classes, width, percent, hashes), classes.select("did", "z", "size")
     stars = links.keys().groupBy("key").agg(F.min("did").alias("b"), F.max("did").alias("most")).where("b <> most").select("key", "b")
     members = settle(links.keys().join(settle(stars), "key"))  # key, did, b: the least member under the key
@@ -196,23 +203,26 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
     shingle_rows = lambda: arrow_map(docs, _members(width), "g long, did long, c long")
     common = settle(shingle_rows().groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g"))
     shared = shingle_rows().join(common, "g", "left_semi").groupBy("did").agg(F.count("*").alias("s"))
-    sizes = settle(shared.join(classes.select("did", "n"), "did").where(F.expr(f"100 * s >= {percent} * n")))
-    left = open_.join(sizes, "did").select("key", F.col("did").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    right = left.toDF("key", "b", "cb", "nb", "sb")
+    sizes = settle(shared.join(classes.select("did", "n", "odd"), "did").where(F.expr(f"100 * s >= {percent} * n")))
+    left = open_.join(sizes, "did").select("key", F.col("did").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("odd").alias("oa"))
+    right = left.toDF("key", "b", "cb", "nb", "sb", "ob")
     enough = F.expr(f"{100 + percent} * least(sa, sb) >= {percent} * (na + nb)")
-    met = left.join(right, "key").where((F.col("ca") < F.col("cb")) & enough).select("a", "b").distinct()
+    apart = " + ".join(f"bit_count(get(oa, {k}) ^ get(ob, {k}))" for k in range(PARITY // 64))
+    alike = F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (na + nb)")
+    met = left.join(right, "key").where((F.col("ca") < F.col("cb")) & enough & alike).select("a", "b").distinct()
     more = settle(links.confirmed(settle(links.close(met))))
     return components(found.union(more), "a", "b")
 
 
 def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hashes: int) -> DataFrame:
     """did, tkey, n_shingles and group of each document."""
-    facts = settle(arrow_map(texts(docs, id_col, text_col), _facts(width, hashes), CLASS))
-    listed = settle(facts.select("did", "tkey", "n", "sid"))
-    first = settle(listed.where("n > 0").groupBy("sid").agg(F.min("did").alias("first")))
-    classes = settle(facts.join(first, "sid").where("did = first").select("did", "n", "sig", "z", "size").dropDuplicates(["did"]))
-    discard(facts)
-    comp = settle(class_links(classes, width, percent, hashes))
+    with passing() as kept:
+        facts = settle(arrow_map(texts(docs, id_col, text_col), _facts(width, hashes), CLASS))
+        listed = kept(facts.select("did", "tkey", "n", "sid"))
+        first = kept(listed.where("n > 0").groupBy("sid").agg(F.min("did").alias("first")))
+        classes = settle(facts.join(first, "sid").where("did = first").select("did", "n", "sig", "z", "size", "odd").dropDuplicates(["did"]))
+        discard(facts)
+        comp = kept(class_links(classes, width, percent, hashes))
     out = listed.join(first.join(comp.withColumnRenamed("node", "first"), "first", "left"), "sid", "left")
     return out.select("did", "tkey", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "did").alias("group"))
 
