@@ -33,6 +33,7 @@ from .common import LOWER, arrow_map, discard, id_or_last, id_or_null, mixed, pa
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 60_000  # shingles hashed at once: they stay in the cache
 PARITY = 512  # hash classes of shingles whose parities a class carries
+LEAD = 1 << 16  # marks the value left out at the first place of a chunk
 CLASS = "did long, tkey long, sid binary, n long, sig binary, z binary, size long, odd array<long>"
 
 
@@ -105,7 +106,7 @@ def _keys(hashes, far):
         for at in range(0, len(batch), 2000):
             part = batch.slice(at, 2000)
             sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint16).reshape(-1, hashes).astype(np.uint64)
-            keys = []
+            keys, left_out = [], []
             for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                 for out in range(a, b):
                     h = np.full(len(sig), c * hashes + out + 1, np.uint64)
@@ -113,7 +114,8 @@ def _keys(hashes, far):
                         if k != out:
                             h = mixed(h * np.uint64(BASE) + sig[:, k], 5)
                     keys.append(h)
-            yield {"key": np.stack(keys, 1).reshape(-1).view("<i8"), "did": np.repeat(part["did"].to_numpy(), len(keys))}
+                    left_out.append(sig[:, out].astype(np.int32) + (LEAD if out == a else 0))
+            yield {"key": np.stack(keys, 1).reshape(-1).view("<i8"), "did": np.repeat(part["did"].to_numpy(), len(keys)), "v": np.stack(left_out, 1).reshape(-1)}
 
     return run
 
@@ -149,7 +151,8 @@ class Links:
         self.far = distance_bound(hashes, percent / 100)
 
     def keys(self) -> DataFrame:
-        return arrow_map(self.classes.select("did", "sig"), _keys(self.hashes, self.far), "key long, did long")
+        """key, did and v: the value that the key leaves out. A pair that has it in common also meets under the chunk's first key."""
+        return arrow_map(self.classes.select("did", "sig"), _keys(self.hashes, self.far), "key long, did long, v int")
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those within the signature distance."""
@@ -186,7 +189,7 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
     """(node, component) of linked classes; classes: did, n, sig, z, size, odd."""
     links, full = Links(classes, width, percent, hashes), classes.select("did", "z", "size")
     stars = links.keys().groupBy("key").agg(F.min("did").alias("b"), F.max("did").alias("most")).where("b <> most").select("key", "b")
-    members = settle(links.keys().join(settle(stars), "key"))  # key, did, b: the least member under the key
+    members = settle(links.keys().join(settle(stars), "key"))  # key, did, v, b: the least member under the key
     pairs = settle(links.close(members.where("did <> b").select(F.col("did").alias("a"), "b").distinct()))
     # each member is held against one partner first; most groups are joined by that
     found = settle(links.confirmed(pairs.groupBy("a").agg(F.min("b").alias("b"))))
@@ -195,7 +198,7 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
     found = settle(found.union(links.confirmed(settle(rest))))
     comp = settle(components(found, "a", "b"))
     # keys under which more than one component is left
-    labelled = settle(_labelled(members.select("key", "did"), comp, "did", "c"))
+    labelled = settle(_labelled(members.select("key", "did", "v"), comp, "did", "c"))
     mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
     open_ = settle(labelled.join(mixed_keys, "key"))
     # a link between components holds only shingles that stand in more than one of them; with so few, no link is possible
@@ -204,12 +207,13 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
     common = settle(shingle_rows().groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g"))
     shared = shingle_rows().join(common, "g", "left_semi").groupBy("did").agg(F.count("*").alias("s"))
     sizes = settle(shared.join(classes.select("did", "n", "odd"), "did").where(F.expr(f"100 * s >= {percent} * n")))
-    left = open_.join(sizes, "did").select("key", F.col("did").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("odd").alias("oa"))
-    right = left.toDF("key", "b", "cb", "nb", "sb", "ob")
+    left = open_.join(sizes, "did").select("key", F.col("v").alias("va"), F.col("did").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("odd").alias("oa"))
+    right = left.toDF("key", "vb", "b", "cb", "nb", "sb", "ob")
     enough = F.expr(f"{100 + percent} * least(sa, sb) >= {percent} * (na + nb)")
     apart = " + ".join(f"bit_count(get(oa, {k}) ^ get(ob, {k}))" for k in range(PARITY // 64))
     alike = F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (na + nb)")
-    met = left.join(right, "key").where((F.col("ca") < F.col("cb")) & enough & alike).select("a", "b").distinct()
+    once = F.expr(f"va <> vb OR va >= {LEAD}")  # a pair equal in the whole chunk counts under its first key alone
+    met = left.join(right, "key").where((F.col("ca") < F.col("cb")) & once & enough & alike).select("a", "b").distinct()
     more = settle(links.confirmed(settle(links.close(met))))
     return components(found.union(more), "a", "b")
 
