@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacewing.llm import decontamination, near_dedup, packing, quality_rules, suffix_dedup
-from lacewing.llm.common import settle
+from lacewing.llm.common import discard, settle
 
 #: Packing has no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -49,5 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each result is written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

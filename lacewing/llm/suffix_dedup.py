@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, id_or_null, mixed, rolled, settle, texts, unpack
+from .common import arrow_map, arrow_schema, discard, id_or_null, mixed, passing, rolled, settle, texts, unpack
 from .induced_sort import Scratch, suffix_sort
 
 BASE, GRAM = 0x9E3779B97F4A7C15, 32
@@ -222,19 +222,23 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def suffix_spans(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes: int, memory: int) -> DataFrame:
     """did, tkey, n_bytes, n_removed, kept_sha256 and spans of each document."""
-    facts = settle(arrow_map(texts(docs, id_col, text_col), _facts, "did long, tkey long, sha binary, z binary, size long").withColumn("wkey", F.xxhash64("sha")))
-    classes = settle(facts.where(F.col("size") >= length).groupBy("wkey").agg(F.count("*").alias("copies"), F.min(F.struct("did", "tkey")).alias("rep")).select("wkey", F.least("copies", F.lit(2)).cast("int").alias("copies"), "rep.did", "rep.tkey"))
-    anchors = settle(arrow_map(facts.select("wkey", "z", "size"), _anchors(length), "h long, wkey long"))
-    shared = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    flagged = settle(anchors.join(shared, "h", "left_semi").groupBy("wkey").agg(F.collect_set("h").alias("hashes")).join(classes, "wkey"))
-    own = settle(facts.select("did", "tkey", "wkey", "z", "size").join(flagged, ["did", "tkey", "wkey"]).dropDuplicates(["did", "tkey", "wkey"]).select("wkey", "copies", "z", "size", "hashes"))
-    found = settle(arrow_map(own, _regions(length), "h long, rid binary, wkey long, at int, region binary, copies int"))
-    total = found.agg(F.sum(F.length("region"))).first()[0] or 0
-    deal = found.where("region is not null").select("h", "rid", "region", "copies").repartition(max(1, -(-total // shard_bytes)), "h")
-    runs = settle(deal.select("rid", "region", "copies").mapInArrow(_shards(length, memory), "rid binary, runs " + SPANS))
-    parts = found.select("rid", "wkey", "at").join(runs, "rid").groupBy("wkey").agg(F.collect_list(F.struct("at", "runs")).alias("parts"))
-    cut = settle(arrow_map(own.select("wkey", "z", "size").join(parts, "wkey"), _remove(length), f"wkey long, cut long, kept binary, spans {SPANS}"))
-    out = facts.select("did", "tkey", "sha", "wkey", F.col("size").alias("n_bytes")).join(cut, "wkey", "left")
+    with passing() as kept:
+        facts = settle(arrow_map(texts(docs, id_col, text_col), _facts, "did long, tkey long, sha binary, z binary, size long").withColumn("wkey", F.xxhash64("sha")))
+        listed = kept(facts.select("did", "tkey", "sha", "wkey", F.col("size").alias("n_bytes")))
+        classes = settle(facts.where(F.col("size") >= length).groupBy("wkey").agg(F.count("*").alias("copies"), F.min(F.struct("did", "tkey")).alias("rep")).select("wkey", F.least("copies", F.lit(2)).cast("int").alias("copies"), "rep.did", "rep.tkey"))
+        anchors = settle(arrow_map(facts.select("wkey", "z", "size"), _anchors(length), "h long, wkey long"))
+        shared = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+        flagged = settle(anchors.join(shared, "h", "left_semi").groupBy("wkey").agg(F.collect_set("h").alias("hashes")).join(classes, "wkey"))
+        discard(anchors)
+        own = settle(facts.select("did", "tkey", "wkey", "z", "size").join(flagged, ["did", "tkey", "wkey"]).dropDuplicates(["did", "tkey", "wkey"]).select("wkey", "copies", "z", "size", "hashes"))
+        discard(facts)
+        found = settle(arrow_map(own, _regions(length), "h long, rid binary, wkey long, at int, region binary, copies int"))
+        total = found.agg(F.sum(F.length("region"))).first()[0] or 0
+        deal = found.where("region is not null").select("h", "rid", "region", "copies").repartition(max(1, -(-total // shard_bytes)), "h")
+        runs = settle(deal.select("rid", "region", "copies").mapInArrow(_shards(length, memory), "rid binary, runs " + SPANS))
+        parts = found.select("rid", "wkey", "at").join(runs, "rid").groupBy("wkey").agg(F.collect_list(F.struct("at", "runs")).alias("parts"))
+        cut = kept(arrow_map(own.select("wkey", "z", "size").join(parts, "wkey"), _remove(length), f"wkey long, cut long, kept binary, spans {SPANS}"))
+    out = listed.join(cut, "wkey", "left")
     return out.select("did", "tkey", "n_bytes", F.coalesce("cut", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
