@@ -12,8 +12,10 @@ one component: what two sets share does. Such a meeting makes a pair only where
 by PARITY hash classes, differ in no more places than the sets themselves may: each place in which they differ holds a
 shingle of one set alone, so no link is lost. So no group of copies is expanded into all its pairs.
 
-Equal sets are one class, which its smallest doc_id stands for. Null or empty text: an empty set, linked with nothing.
-A null doc_id counts as the largest. Repeated rows are copies. An empty table gives no rows. Other columns are not read.
+Equal sets are one class, whatever their doc_ids; the row smallest by doc_id, then by hash of its text, stands for a class
+or group. Null or empty text: an empty set, linked with nothing. A null doc_id counts as the largest, and rows that share
+a doc_id, or have none, are documents of their own. Repeated rows are copies. An empty table gives no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def _keys(hashes, far):
                             h = mixed(h * np.uint64(BASE) + sig[:, k], 5)
                     keys.append(h)
                     left_out.append(sig[:, out].astype(np.int32) + (LEAD if out == a else 0))
-            yield {"key": np.stack(keys, 1).reshape(-1).view("<i8"), "did": np.repeat(part["did"].to_numpy(), len(keys)), "v": np.stack(left_out, 1).reshape(-1)}
+            yield {"key": np.stack(keys, 1).reshape(-1).view("<i8"), "cid": np.repeat(part["cid"].to_numpy(), len(keys)), "v": np.stack(left_out, 1).reshape(-1)}
 
     return run
 
@@ -151,17 +153,17 @@ class Links:
         self.far = distance_bound(hashes, percent / 100)
 
     def keys(self) -> DataFrame:
-        """key, did and v: the value that the key leaves out. A pair that has it in common also meets under the chunk's first key."""
-        return arrow_map(self.classes.select("did", "sig"), _keys(self.hashes, self.far), "key long, did long, v int")
+        """key, cid and v: the value that the key leaves out. A pair that has it in common also meets under the chunk's first key."""
+        return arrow_map(self.classes.select("cid", "sig"), _keys(self.hashes, self.far), "key long, cid long, v int")
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those within the signature distance."""
-        sig = self.classes.select("did", "sig")
+        sig = self.classes.select("cid", "sig")
         both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
         return arrow_map(both, _close(self.hashes, self.far), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        full = self.classes.select("did", "z", "size")
+        full = self.classes.select("cid", "z", "size")
         both = pairs.join(full.toDF("a", "z_a", "size_a"), "a").join(full.toDF("b", "z_b", "size_b"), "b")
         return arrow_map(both, _confirm(self.width, self.percent), "a long, b long")
 
@@ -180,17 +182,17 @@ def _members(width):
             part = batch.slice(at, 500)
             sets = [np.unique(shingles(words_of(unpack(z.as_py(), n)), width)) for z, n in zip(part["z"], part["size"].to_pylist(), strict=True)]
             size = list(map(len, sets))
-            yield {"g": np.concatenate(sets).view("<i8"), "did": np.repeat(part["did"].to_numpy(), size), "c": np.repeat(part["c"].to_numpy(), size)}
+            yield {"g": np.concatenate(sets).view("<i8"), "cid": np.repeat(part["cid"].to_numpy(), size), "c": np.repeat(part["c"].to_numpy(), size)}
 
     return run
 
 
 def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> DataFrame:
-    """(node, component) of linked classes; classes: did, n, sig, z, size, odd."""
-    links, full = Links(classes, width, percent, hashes), classes.select("did", "z", "size")
-    stars = links.keys().groupBy("key").agg(F.min("did").alias("b"), F.max("did").alias("most")).where("b <> most").select("key", "b")
-    members = settle(links.keys().join(settle(stars), "key"))  # key, did, v, b: the least member under the key
-    pairs = settle(links.close(members.where("did <> b").select(F.col("did").alias("a"), "b").distinct()))
+    """(node, component) of linked classes; classes: cid, n, sig, z, size, odd."""
+    links, full = Links(classes, width, percent, hashes), classes.select("cid", "z", "size")
+    stars = links.keys().groupBy("key").agg(F.min("cid").alias("b"), F.max("cid").alias("most")).where("b <> most").select("key", "b")
+    members = settle(links.keys().join(settle(stars), "key"))  # key, cid, v, b: the least member under the key
+    pairs = settle(links.close(members.where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()))
     # each member is held against one partner first; most groups are joined by that
     found = settle(links.confirmed(pairs.groupBy("a").agg(F.min("b").alias("b"))))
     comp = settle(components(found, "a", "b"))
@@ -198,16 +200,16 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
     found = settle(found.union(links.confirmed(settle(rest))))
     comp = settle(components(found, "a", "b"))
     # keys under which more than one component is left
-    labelled = settle(_labelled(members.select("key", "did", "v"), comp, "did", "c"))
+    labelled = settle(_labelled(members.select("key", "cid", "v"), comp, "cid", "c"))
     mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
     open_ = settle(labelled.join(mixed_keys, "key"))
     # a link between components holds only shingles that stand in more than one of them; with so few, no link is possible
-    docs = settle(open_.select("did", "c").distinct().join(full, "did"))
-    shingle_rows = lambda: arrow_map(docs, _members(width), "g long, did long, c long")
+    docs = settle(open_.select("cid", "c").distinct().join(full, "cid"))
+    shingle_rows = lambda: arrow_map(docs, _members(width), "g long, cid long, c long")
     common = settle(shingle_rows().groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g"))
-    shared = shingle_rows().join(common, "g", "left_semi").groupBy("did").agg(F.count("*").alias("s"))
-    sizes = settle(shared.join(classes.select("did", "n", "odd"), "did").where(F.expr(f"100 * s >= {percent} * n")))
-    left = open_.join(sizes, "did").select("key", F.col("v").alias("va"), F.col("did").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("odd").alias("oa"))
+    shared = shingle_rows().join(common, "g", "left_semi").groupBy("cid").agg(F.count("*").alias("s"))
+    sizes = settle(shared.join(classes.select("cid", "n", "odd"), "cid").where(F.expr(f"100 * s >= {percent} * n")))
+    left = open_.join(sizes, "cid").select("key", F.col("v").alias("va"), F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("odd").alias("oa"))
     right = left.toDF("key", "vb", "b", "cb", "nb", "sb", "ob")
     enough = F.expr(f"{100 + percent} * least(sa, sb) >= {percent} * (na + nb)")
     apart = " + ".join(f"bit_count(get(oa, {k}) ^ get(ob, {k}))" for k in range(PARITY // 64))
@@ -219,31 +221,44 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
 
 
 def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hashes: int) -> DataFrame:
-    """did, tkey, n_shingles and group of each document."""
+    """did, tkey, n_shingles, group (its smallest doc_id) and kept of each document; again: whether a row not kept equals
+    the one kept in its place."""
     with passing() as kept:
         facts = settle(arrow_map(texts(docs, id_col, text_col), _facts(width, hashes), CLASS))
-        listed = kept(facts.select("did", "tkey", "n", "sid"))
-        first = kept(listed.where("n > 0").groupBy("sid").agg(F.min("did").alias("first")))
-        classes = settle(facts.join(first, "sid").where("did = first").select("did", "n", "sig", "z", "size", "odd").dropDuplicates(["did"]))
+        listed = kept(facts.select("did", "tkey", "n", "sid", F.monotonically_increasing_id().alias("row")))
+        # the least row stands for a class; cid is a number for it, which holds as the table is written
+        first = listed.where("n > 0").groupBy("sid").agg(F.min(F.struct("did", "tkey", "row")).alias("first"))
+        first = kept(first.withColumn("cid", F.monotonically_increasing_id()))
+        one = facts.join(first, "sid").where("did = first.did AND tkey = first.tkey")
+        classes = settle(one.select("cid", "n", "sig", "z", "size", "odd").dropDuplicates(["cid"]))
         discard(facts)
         comp = kept(class_links(classes, width, percent, hashes))
-    out = listed.join(first.join(comp.withColumnRenamed("node", "first"), "first", "left"), "sid", "left")
-    return out.select("did", "tkey", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "did").alias("group"))
+    members = first.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("sid", "first", "component")
+    best = members.where("component is not null").groupBy("component").agg(F.min("first").alias("best"))
+    stands = members.join(best, "component", "left").select("sid", F.coalesce("best", "first").alias("best"))
+    out = listed.join(stands, "sid", "left")
+    again = F.expr("did = best.did AND tkey = best.tkey AND row <> best.row")
+    return out.select("did", "tkey", F.col("n").alias("n_shingles"), F.coalesce("best.did", "did").alias("group"), F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("kept"), F.coalesce(again, F.lit(False)).alias("again"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hashes: int = 96) -> DataFrame:
     """For each document: doc_id, n_shingles (size of its set), component_id (the smallest doc_id of its group) and kept
-    (whether it is that one). Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; sets are linked whose intersection is
-    at least percent of their union."""
+    (true for one row of each group, which has that doc_id). Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; sets are
+    linked whose intersection is at least percent of their union."""
     out = near_groups(docs, id_col, text_col, width, percent, hashes)
-    return out.select(id_or_null("did").alias("doc_id"), "n_shingles", id_or_null("group").alias("component_id"), (F.col("did") == F.col("group")).alias("kept"))
+    return out.select(id_or_null("did").alias("doc_id"), "n_shingles", id_or_null("group").alias("component_id"), "kept")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hashes: int = 96) -> DataFrame:
-    """docs without the documents of a group that are not its smallest doc_id."""
-    gone = near_groups(docs, id_col, text_col, width, percent, hashes).where("did <> group").select(F.col("did").alias("_did"), F.col("tkey").alias("_tkey"))
-    keys = docs.withColumns({"_did": id_or_last(id_col), "_tkey": F.xxhash64(text_col)})
-    return keys.join(gone, ["_did", "_tkey"], "left_anti").select(*docs.columns)
+    """docs with one row of each group, of its smallest doc_id."""
+    lost = near_groups(docs, id_col, text_col, width, percent, hashes).where("not kept")
+    lost = settle(lost.select(F.col("did").alias("_did"), F.col("tkey").alias("_tkey"), "again").distinct())
+    names = ["_did", "_tkey"]
+    left = docs.withColumns({"_did": id_or_last(id_col), "_tkey": F.xxhash64(text_col)}).join(lost.where("not again"), names, "left_anti")
+    again = lost.where("again")
+    if again.take(1):  # rows equal to the one kept
+        left = left.join(again, names, "left_anti").union(left.join(again, names, "left_semi").dropDuplicates(names))
+    return left.select(*docs.columns)
 
 
 SQL = r"""
