@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,28 +11,42 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: dict[str, SparkSession] = {}
 _passing: ContextVar[list[DataFrame] | None] = ContextVar("_passing", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own in a session
+    that runs in one process (tests); a cluster has to name one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lacewing-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go once it is written, not when the driver's garbage is collected."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, so a lost executor costs no recomputation
-    of earlier stages, and the shuffle files of those stages can go."""
+    of earlier stages, and the shuffle files of those stages go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lacewing-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     if (scope := _passing.get()) is not None:
