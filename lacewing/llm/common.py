@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from lacewing.plans.tables import discard, passing, settle, shared_dir
 
 #: A null doc_id counts as the largest id of all; it is given back as null.
 NO_ID = (1 << 63) - 1
+#: Rows in a batch for Python workers: a few MB of ordinary texts.
+ROWS, BATCH_ROWS = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def id_or_last(name: str) -> Column:
@@ -41,7 +44,31 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | list
             for x in [out] if isinstance(out, dict) else out:
                 yield pa.RecordBatch.from_arrays([as_arrow(x[k.name], k.type) for k in to], schema=to)
 
-    return df.mapInArrow(run, schema)
+    return lean_map(df, run, schema)
+
+
+def lean_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of at most ROWS rows (a lower setting of the session stays), whose worker gives its free
+    memory back at the end of a task: workers live on, and what they hold would add up over the operators of a session."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_ROWS, "10000")) <= ROWS:
+        conf.set(BATCH_ROWS, str(ROWS))
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def arrow_schema(kind: str | StructType) -> pa.Schema:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, settle
+from .common import arrow_map, arrow_schema, lean_map, settle
 
 BUCKETS = 1 << 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
@@ -58,7 +58,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], schema=schema)
 
-    counted = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null").mapInArrow(run, "lang string, bucket int, n long")
+    rows_in = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    counted = lean_map(rows_in, run, "lang string, bucket int, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     n = np.full((len(langs), BUCKETS), 0.5)

@@ -252,13 +252,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hashes: int = 96) -> DataFrame:
     """docs with one row of each group, of its smallest doc_id."""
     lost = near_groups(docs, id_col, text_col, width, percent, hashes).where("not kept")
-    lost = settle(lost.select(F.col("did").alias("_did"), F.col("tkey").alias("_tkey"), "again").distinct())
-    names = ["_did", "_tkey"]
-    left = docs.withColumns({"_did": id_or_last(id_col), "_tkey": F.xxhash64(text_col)}).join(lost.where("not again"), names, "left_anti")
+    lost = settle(lost.select(F.struct("did", "tkey").alias("key"), "again").distinct())
+    rows = docs.select(F.struct("*").alias("row"))  # so that columns of docs may have any names
+    left = rows.withColumn("key", F.struct(id_or_last(f"row.`{id_col}`").alias("did"), F.xxhash64(f"row.`{text_col}`").alias("tkey"))).join(lost.where("not again"), "key", "left_anti")
     again = lost.where("again")
     if again.take(1):  # rows equal to the one kept
-        left = left.join(again, names, "left_anti").union(left.join(again, names, "left_semi").dropDuplicates(names))
-    return left.select(*docs.columns)
+        left = left.join(again, "key", "left_anti").union(left.join(again, "key", "left_semi").dropDuplicates(["key"]))
+    return left.select("row.*")
 
 
 SQL = r"""

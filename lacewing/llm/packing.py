@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema
+from .common import arrow_schema, lean_map
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 STRETCH = 400_000  # words whose tokens are learnt at once
@@ -235,7 +235,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         if rows:
             yield batch_of(rows)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECE)
+    return lean_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECE)
 
 
 def crc32_of(pieces: DataFrame) -> DataFrame:

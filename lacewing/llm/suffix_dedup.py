@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, discard, id_or_null, mixed, passing, rolled, settle, texts, unpack
+from .common import NO_ID, arrow_map, arrow_schema, discard, id_or_null, lean_map, mixed, passing, rolled, settle, texts, unpack, words_of
 from .induced_sort import Scratch, suffix_sort
 
 BASE, GRAM = 0x9E3779B97F4A7C15, 32
@@ -235,7 +235,7 @@ def suffix_spans(docs: DataFrame, id_col: str, text_col: str, length: int, shard
         found = settle(arrow_map(own, _regions(length), "h long, rid binary, wkey long, at int, region binary, copies int"))
         total = found.agg(F.sum(F.length("region"))).first()[0] or 0
         deal = found.where("region is not null").select("h", "rid", "region", "copies").repartition(max(1, -(-total // shard_bytes)), "h")
-        runs = settle(deal.select("rid", "region", "copies").mapInArrow(_shards(length, memory), "rid binary, runs " + SPANS))
+        runs = settle(lean_map(deal.select("rid", "region", "copies"), _shards(length, memory), "rid binary, runs " + SPANS))
         parts = found.select("rid", "wkey", "at").join(runs, "rid").groupBy("wkey").agg(F.collect_list(F.struct("at", "runs")).alias("parts"))
         cut = kept(arrow_map(own.select("wkey", "z", "size").join(parts, "wkey"), _remove(length), f"wkey long, cut long, kept binary, spans {SPANS}"))
     out = listed.join(cut, "wkey", "left")
@@ -249,26 +249,30 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(id_or_null("did").alias("doc_id"), "n_bytes", "n_removed", "kept_sha256", "spans")
 
 
-def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, memory: int = 256 << 20) -> DataFrame:
-    """docs with the repeated bytes taken out of text_col; characters that lose some of their bytes go whole."""
-    gone = suffix_spans(docs, id_col, text_col, length, shard_bytes, memory).where("n_removed > 0").select(F.col("did").alias("_did"), F.col("tkey").alias("_tkey"), F.col("spans").alias("_spans")).dropDuplicates(["_did", "_tkey"])
-    keys = docs.withColumns({"_did": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_tkey": F.xxhash64(text_col)})
-    return keys.join(gone, ["_did", "_tkey"], "left").withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_cut(F.col(text_col), F.col("_spans")))).select(*docs.columns)
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, min_words: int = 0, shard_bytes: int = 2 << 20, memory: int = 256 << 20) -> DataFrame:
+    """docs with the maximal repeated runs of bytes taken out of text_col, of those that hold at least min_words words;
+    characters that lose some of their bytes go whole. Columns of docs may have any names."""
+    spans = suffix_spans(docs, id_col, text_col, length, shard_bytes, memory).where("n_removed > 0")
+    gone = spans.select(F.struct("did", "tkey").alias("key"), "spans").dropDuplicates(["key"])
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.withColumn("key", F.struct(F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(f"row.`{text_col}`").alias("tkey")))
+    text = F.col(f"row.`{text_col}`")
+    cut = F.when(F.col("spans").isNull(), text).otherwise(_cut(min_words)(text, F.col("spans"))).alias(text_col)
+    return rows.join(gone, "key", "left").select(*[cut if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def _cut(text, spans):
-    return F.pandas_udf(_cut_batch, "string")(text, spans)
-
-
-def _cut_batch(text: pd.Series, spans: pd.Series) -> pd.Series:
-
+def _cut(min_words: int):
     def one(t, runs):
         if t is None or runs is None:
             return t
         raw, at, out = t.encode(), 0, []
         for r in runs:
-            out.append(raw[at : r["start"]])
-            at = r["end"]
+            if len(words_of(raw[r["start"] : r["end"]])) >= min_words:
+                out.append(raw[at : r["start"]])
+                at = r["end"]
         return b"".join([*out, raw[at:]]).decode("utf-8", "ignore")
 
-    return pd.Series([one(t, r) for t, r in zip(text, spans, strict=True)])
+    def batch(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([one(t, r) for t, r in zip(text, spans, strict=True)])
+
+    return F.pandas_udf(batch, "string")
