@@ -32,10 +32,6 @@ class Rules:
         if self.word_threshold is not None:
             check_share("word_threshold", self.word_threshold)
 
-    @property
-    def active(self) -> bool:
-        return self.numbers_must_match or self.word_threshold is not None
-
 
 def check_method(method: str) -> str:
     if method not in ("auto", "indexed", "brute"):

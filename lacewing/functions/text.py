@@ -27,6 +27,22 @@ def lowered(name: Column, turkish: bool) -> Column:
     return F.translate(F.lower(F.translate(name, "Iİ", "ıi")), "çğıöşüâîû̇", "cgiosuaiu")
 
 
+def levenshtein(a: Column, b: Column) -> Column:
+    """Insertions, deletions and substitutions from a to b."""
+    return F.levenshtein(a, b)
+
+
+def levenshtein_bounded(a: Column, b: Column, most: int) -> Column:
+    """The distance where it is at most `most`, else -1."""
+    return F.levenshtein(a, b, most)
+
+
+def pair_score(a: Column, b: Column) -> Column:
+    """The distance as a share of the longer length; 0 for two empty names."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 

@@ -15,8 +15,10 @@ from lacewing.functions.options import Normal, Rules, check_method, check_share
 from lacewing.functions.text import accepted, normalize
 from lacewing.plans.budget import max_edits, segment_length, segment_start
 from lacewing.plans.graph import components
+from lacewing.plans.tables import settle
 
 BRUTE_FROM = 0.5
+FEW = 5_000
 
 
 def normalized(names: DataFrame, options: Normal, id_col: str = "id", name_col: str = "name", null_as_empty: bool = False) -> DataFrame:
@@ -35,22 +37,23 @@ def brute_pairs(strings: DataFrame, threshold: float) -> DataFrame:
     """(s, r, score) of different strings, s below r, by comparing all. A condition on both ends, so Spark loops."""
     a, b = strings.select(F.col("norm").alias("s"), F.length("norm").alias("ls")), strings.select(F.col("norm").alias("r"), F.length("norm").alias("lr"))
     longest = F.greatest("ls", "lr")
-    score = F.levenshtein("s", "r") / longest
+    score = F.levenshtein("s", "r") / F.greatest(longest, F.lit(1))
     near = (F.col("s") < F.col("r")) & (F.greatest("ls", "lr") - F.least("ls", "lr") <= F.lit(threshold) * longest + 1e-9)
+    near = near & (F.expr(f"levenshtein(s, r, cast({threshold!r} * greatest(ls, lr) as int) + 1)") >= 0)  # bounded, so it ends early
     cores = strings.sparkSession.sparkContext.defaultParallelism
-    return a.repartition(cores).join(b, near & (score <= F.lit(threshold))).select("s", "r", score.alias("score"))
+    return a.repartition(cores).join(b, near).select("s", "r", score.alias("score")).where(F.col("score") <= F.lit(threshold))
 
 
 def candidates(strings: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
-    """Pairs of rows that share a segment: keys as s_* of the shorter and r_* of the longer, with s, r and k. Of equally
-    long ones, the smaller first key is s."""
+    """Pairs of rows that share a segment: keys as s_* of the shorter and r_* of the longer, with s, r and k, once
+    for each segment. Of equally long ones, the smaller first key is s, or the smaller string without keys."""
     spark = strings.sparkSession
     lengths = [n for n in lengths_of(strings) if n]
     budget = {n: max_edits(n, threshold) for n in lengths}
     wanted = sorted({(small, big, k) for big in lengths for small in lengths if small <= big and big - (k := budget[big]) <= small and small > k})
     table = "small int, big int, k int"
-    probe = F.broadcast(spark.createDataFrame(wanted, table))
-    build = F.broadcast(spark.createDataFrame(sorted({(s, k) for s, _, k in wanted}), "small int, k int"))
+    probe = spark.createDataFrame(wanted, table)
+    build = spark.createDataFrame(sorted({(s, k) for s, _, k in wanted}), "small int, k int")
     rows = strings.withColumn("len", F.length("norm"))
     seg, k, small, big = (F.col(c) for c in ("seg", "k", "small", "big"))
     built = rows.join(build, rows["len"] == build["small"]).select("*", F.explode(F.sequence(F.lit(0), k)).alias("seg"))
@@ -60,15 +63,16 @@ def candidates(strings: DataFrame, threshold: float, keys: list[str]) -> DataFra
     lo, hi = F.greatest(start - seg, start + gap - (k - seg), F.lit(0)), F.least(start + seg, start + gap + (k - seg), big - size)
     probed = probed.withColumns({"lo": lo, "hi": hi, "size": size}).where("lo <= hi").withColumn("pos", F.explode(F.sequence("lo", "hi")))
     probed = probed.select("small", "big", "k", "seg", F.substring(F.col("norm"), F.col("pos") + 1, F.col("size")).alias("chunk"), F.col("norm").alias("r"), *[F.col(c).alias(f"r_{c}") for c in keys])
-    ordered = (F.col("small") < F.col("big")) | (F.col(f"s_{keys[0]}") < F.col(f"r_{keys[0]}"))
+    ordered = (F.col("small") < F.col("big")) | (F.col(f"s_{keys[0]}") < F.col(f"r_{keys[0]}") if keys else F.col("s") < F.col("r"))
     met = built.join(probed, ["small", "k", "seg", "chunk"]).where(ordered)
-    return met.select("s", "r", "k", *[f"{side}_{c}" for side in "sr" for c in keys]).distinct()
+    return met.select("k", "s", "r", *[f"{side}_{c}" for side in "sr" for c in keys])
 
 
 def indexed_pairs(strings: DataFrame, threshold: float) -> DataFrame:
-    found = candidates(strings.withColumn("key", F.col("norm")), threshold, ["key"])
-    distance = F.expr("levenshtein(s, r, k)")
-    return found.withColumn("d", distance).where("d >= 0").select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r"), (F.col("d") / F.greatest(F.length("s"), F.length("r"))).alias("score"))
+    found = candidates(strings, threshold, [])
+    # most that meet are too far apart: those are told before the pairs are shuffled to make each stand once
+    near = found.withColumn("d", F.expr("levenshtein(s, r, k)")).where("d >= 0").select("s", "r", "d").distinct()
+    return near.select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r"), (F.col("d") / F.greatest(F.length("s"), F.length("r"))).alias("score"))
 
 
 def use_brute(strings: DataFrame, threshold: float, method: str) -> bool:
@@ -87,7 +91,9 @@ def use_brute(strings: DataFrame, threshold: float, method: str) -> bool:
 
 
 def string_pairs(strings: DataFrame, threshold: float, method: str) -> DataFrame:
-    return brute_pairs(strings, threshold) if use_brute(strings, threshold, method) else indexed_pairs(strings, threshold)
+    """Up to FEW strings, comparing all costs less than the segments do; the result is the same."""
+    few = method == "auto" and strings.limit(FEW + 1).count() <= FEW
+    return brute_pairs(strings, threshold) if few or use_brute(strings, threshold, method) else indexed_pairs(strings, threshold)
 
 
 def find_duplicates(names: DataFrame, threshold: float = 0.2, *, token_sort: bool = False, strip_suffixes: bool = False, turkish: bool = False, numbers_must_match: bool = False, word_threshold: float | None = None, method: str = "auto", id_col: str = "id", name_col: str = "name", null_as_empty: bool = False) -> DataFrame:
@@ -95,7 +101,8 @@ def find_duplicates(names: DataFrame, threshold: float = 0.2, *, token_sort: boo
     rules = Rules(numbers_must_match, word_threshold, turkish)
     check_share("threshold", threshold)
     check_method(method)
-    rows = normalized(names, Normal(token_sort, strip_suffixes, turkish), id_col, name_col, null_as_empty).persist()
+    rows = normalized(names, Normal(token_sort, strip_suffixes, turkish), id_col, name_col, null_as_empty)
+    rows = settle(rows)
     pairs = string_pairs(rows.select("norm").distinct(), threshold, method).where(accepted(F.col("s"), F.col("r"), rules))
     a, b = rows.select(F.col("id").alias("x"), F.col("norm").alias("s")), rows.select(F.col("id").alias("y"), F.col("norm").alias("r"))
     different = pairs.join(a, "s").join(b, "r").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "score")
@@ -109,7 +116,7 @@ def link(left: DataFrame, right: DataFrame, threshold: float = 0.2, *, token_sor
     check_method(method)
     rules = Rules(numbers_must_match, word_threshold, turkish)
     options = Normal(token_sort, strip_suffixes, turkish)
-    a, b = (normalized(t, options, id_col, name_col, null_as_empty).persist() for t in (left, right))
+    a, b = (settle(normalized(t, options, id_col, name_col, null_as_empty)) for t in (left, right))
     strings = a.select("norm").union(b.select("norm")).distinct()
     pairs = string_pairs(strings, threshold, method).where(accepted(F.col("s"), F.col("r"), rules))
     both = pairs.union(pairs.select("r", "s", "score"))
@@ -140,7 +147,7 @@ def numbered(clusters: DataFrame) -> DataFrame:
 def stats(names: DataFrame, threshold: float = 0.2, *, token_sort: bool = False, strip_suffixes: bool = False, turkish: bool = False, numbers_must_match: bool = False, word_threshold: float | None = None, id_col: str = "id", name_col: str = "name") -> DataFrame:
     """One row: found (after rules), verified (pairs that the index compares, before rules), all_pairs."""
     check_share("threshold", threshold)
-    rows = normalized(names, Normal(token_sort, strip_suffixes, turkish), id_col, name_col).persist()
+    rows = settle(normalized(names, Normal(token_sort, strip_suffixes, turkish), id_col, name_col))
     found = find_duplicates(names, threshold, token_sort=token_sort, strip_suffixes=strip_suffixes, turkish=turkish, numbers_must_match=numbers_must_match, word_threshold=word_threshold, method="auto", id_col=id_col, name_col=name_col).agg(F.count("*").alias("found"))
     n = rows.count()
     if threshold >= BRUTE_FROM or n < 2:

@@ -1,4 +1,4 @@
-"""Queries of the matcher over the driver's tables, and their SQL."""
+"""Queries of the matcher over the driver's tables; their SQL is in oracles.py."""
 
 from __future__ import annotations
 
@@ -41,18 +41,10 @@ def distinct_parts(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "part", "p_partkey", "p_name").groupBy("name").agg(F.min("id").alias("id")).select("id", "name")
 
 
-PARTS = "SELECT p_partkey AS id, p_name || CASE p_partkey % 5 WHEN 0 THEN ' Ltd.' WHEN 1 THEN ' LIMITED' WHEN 2 THEN '  Sanayi ve Tic. A.S.' WHEN 3 THEN ' 2' ELSE '' END AS name FROM part"
-DISTINCT = "SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name"
-URLS = "SELECT page_id AS id, url AS name FROM pages"
-NORM = r"array_to_string(list_filter(string_split_regex(lower(name), '\s+'), lambda w: w <> ''), ' ')"
-
-
-def pairs_sql(source: str, t: float, norm: str = NORM, extra: str = "TRUE") -> str:
-    return f"WITH n AS (SELECT id, {norm} AS s FROM ({source})) SELECT id_a, id_b, score FROM (SELECT a.id AS id_a, b.id AS id_b, CASE WHEN greatest(length(a.s), length(b.s)) = 0 THEN 0.0::DOUBLE ELSE levenshtein(a.s, b.s)::DOUBLE / greatest(length(a.s), length(b.s)) END AS score, a.s AS sa, b.s AS sb FROM n a JOIN n b ON a.id < b.id) WHERE score <= {t}::DOUBLE AND {extra}"
-
-
-def link_sql(t: float) -> str:
-    return f"WITH l AS (SELECT id, {NORM} AS s FROM ({DISTINCT})), r AS (SELECT id, {NORM} AS s FROM ({PARTS}) WHERE id <= 300) SELECT l.id AS id_left, r.id AS id_right, levenshtein(l.s, r.s)::DOUBLE / greatest(length(l.s), length(r.s)) AS score FROM l, r WHERE levenshtein(l.s, r.s)::DOUBLE / greatest(length(l.s), length(r.s)) <= {t}::DOUBLE"
+def turned_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Part names, those of odd keys with their words from last to first; one row for each."""
+    name = F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.array_join(F.reverse(F.split("name", " ")), " "))
+    return plain_parts(spark, d).select("id", name.alias("name")).groupBy("name").agg(F.min("id").alias("id")).select("id", "name")
 
 
 def _norm(options):
@@ -105,18 +97,18 @@ def queries() -> dict:
         "suffix_pieces": lambda s, d: parts(s, d).select("id", F.array_join(tx.suffix_pieces(F.lower("name")), "|").alias("pieces")),
         "number_words": lambda s, d: parts(s, d).select("id", F.array_join(tx.number_words(tx.normalize(F.col("name")), False), " ").alias("numbers")),
         "turkish_ordinal": lambda s, d: parts(s, d).select("id", tx.is_ordinal(F.element_at(F.array(*[F.lit(w) for w in ("onbirinci", "birinci", "yuz", "yuzuncu")]), (F.col("id") % 4 + 1).cast("int"))).alias("ordinal")),
-        "levenshtein": _per_pair(lambda: [F.levenshtein("a", "b").cast("long").alias("distance")]),
-        "levenshtein_bounded": _per_pair(lambda: [F.levenshtein("a", "b", 3).cast("long").alias("distance")]),
-        "pair_score": _per_pair(lambda: [(F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))).alias("score")]),
+        "levenshtein": _per_pair(lambda: [tx.levenshtein(F.col("a"), F.col("b")).cast("long").alias("distance")]),
+        "levenshtein_bounded": _per_pair(lambda: [tx.levenshtein_bounded(F.col("a"), F.col("b"), 3).cast("long").alias("distance")]),
+        "pair_score": _per_pair(lambda: [tx.pair_score(F.col("a"), F.col("b")).alias("score")]),
         "leftover_words": _per_pair(lambda: [tx.leftover(tx.normalize(F.col("a")), tx.normalize(F.col("b"))).alias("leftover")]),
-        "sketch_bound": _per_pair(lambda: [(tx.sketch_bound(F.col("a"), F.col("b")) <= F.levenshtein("a", "b")).alias("holds")]),
+        "sketch_bound": _per_pair(lambda: [tx.sketch_bound(F.col("a"), F.col("b")).cast("long").alias("bound"), (tx.sketch_bound(F.col("a"), F.col("b")) <= F.levenshtein("a", "b")).alias("holds")]),
         "osa_le1": lambda s, d: distinct_parts(s, d).select("id", tx.osa_within_one(F.col("name"), ["small ring", "large bolt"]).alias("near")),
         "max_edits": lambda s, d: s.createDataFrame([(n, max_edits(n, 0.1)) for n in range(200)], "len long, k long"),
         "index_ks": lambda s, d: s.createDataFrame([(n, k) for n in range(1, 60) for k in stored_budgets(n, 0.2)], "len long, k long"),
         "segments": lambda s, d: lengths(s, d).select("len", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("seg")).select(F.col("len").cast("long").alias("len"), F.col("seg").cast("long").alias("seg"), segment_start(F.col("len"), F.lit(3), F.col("seg")).cast("long").alias("start"), segment_length(F.col("len"), F.lit(3), F.col("seg")).cast("long").alias("size")),
         "length_histogram": lambda s, d: urls(s, d).groupBy(F.length("name").cast("long").alias("len")).agg(F.count("*").alias("n")),
         "dedupe_brute": _pairs(urls, 0.1, method="brute"), "dedupe_indexed": _pairs(urls, 0.1, method="indexed"), "find_duplicates_auto": _pairs(urls, 0.2), "find_duplicates_wide": _pairs(urls, 0.6),
-        "find_duplicates_token_sort": _pairs(urls, 0.1, token_sort=True), "find_duplicates_strip": _pairs(parts, 0.1, strip_suffixes=True), "find_duplicates_turkish": _pairs(parts, 0.1, strip_suffixes=True, turkish=True),
+        "find_duplicates_token_sort": _pairs(turned_parts, 0.1, token_sort=True), "find_duplicates_strip": _pairs(parts, 0.1, strip_suffixes=True), "find_duplicates_turkish": _pairs(parts, 0.1, strip_suffixes=True, turkish=True),
         "find_duplicates_suppliers": _pairs(suppliers, 0.1), "rule_numbers": _pairs(parts, 0.1, numbers_must_match=True), "rule_words": _pairs(parts, 0.1, word_threshold=0.34), "rule_precise": _pairs(parts, 0.1, numbers_must_match=True, word_threshold=0.34),
         "link_brute": _link(0.2, "brute"), "link_indexed": _link(0.2, "indexed"), "link_auto": _link(0.3, "auto"),
         "cluster_pairs": lambda s, d: m.cluster(urls(s, d), 0.1), "cluster_groups": lambda s, d: m.groups(m.cluster(urls(s, d), 0.1)).select("group_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids")),
@@ -127,29 +119,3 @@ def queries() -> dict:
         "pair_quality": lambda s, d: m.pair_quality(m.find_duplicates(suppliers(s, d), 0.06), m.truth_pairs(suppliers(s, d).select("id", (F.col("id") % 10).alias("entity")))).select("tp", "precision", "recall", "f1"),
     }
     return out
-
-
-def oracle_sql() -> dict[str, str]:
-    pair = f"WITH p AS ({DISTINCT}) SELECT a.id AS id_a, b.id AS id_b, {{}} FROM p a JOIN p b ON a.id < b.id"
-    hits = "WITH l AS (SELECT row_number() OVER (ORDER BY id, name) - 1 AS id, {n} AS s FROM ({a})), r AS (SELECT id, {n} AS s FROM ({b}) WHERE id <= 300) SELECT r.id AS query_id, l.id, levenshtein(l.s, r.s)::DOUBLE / greatest(length(l.s), length(r.s)) AS score FROM l, r WHERE levenshtein(l.s, r.s)::DOUBLE / greatest(length(l.s), length(r.s)) <= {t}::DOUBLE"
-    numbers = "list_sort(list_filter(string_split({}, ' '), lambda w: regexp_matches(w, '[0-9]')))"
-    truth = "SELECT a.s_suppkey AS id_a, b.s_suppkey AS id_b FROM supplier a JOIN supplier b ON a.s_suppkey % 10 = b.s_suppkey % 10 AND a.s_suppkey < b.s_suppkey"
-    supplier_pairs = pairs_sql("SELECT s_suppkey AS id, s_name AS name FROM supplier", 0.1)
-    component = f"WITH RECURSIVE e AS ({pairs_sql(URLS, 0.1)}), u AS (SELECT id_a AS a, id_b AS b FROM e UNION SELECT id_b, id_a FROM e), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a), c AS (SELECT a AS id, least(a, min(b)) AS group_id FROM r GROUP BY a) "
-    names = f"SELECT row_number() OVER (ORDER BY id, name) - 1 AS id, name FROM ({DISTINCT})"
-    return {
-        "normalize_default": f"SELECT id, {NORM} AS norm FROM ({PARTS})", "normalize_token_sort": f"SELECT id, array_to_string(list_sort(string_split({NORM}, ' ')), ' ') AS norm FROM ({PARTS})",
-        "number_words": f"SELECT id, array_to_string({numbers.format(NORM)}, ' ') AS numbers FROM ({PARTS})",
-        "turkish_ordinal": "SELECT p_partkey AS id, p_partkey % 4 <> 2 AS ordinal FROM part",
-        "levenshtein": pair.format("levenshtein(a.name, b.name)::BIGINT AS distance"), "levenshtein_bounded": pair.format("CASE WHEN levenshtein(a.name, b.name) <= 3 THEN levenshtein(a.name, b.name) ELSE -1 END::BIGINT AS distance"),
-        "pair_score": pair.format("levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS score"), "sketch_bound": pair.format("TRUE AS holds"),
-        "osa_le1": f"SELECT id, damerau_levenshtein(name, 'small ring') <= 1 OR damerau_levenshtein(name, 'large bolt') <= 1 AS near FROM ({DISTINCT})",
-        "length_histogram": "SELECT length(url)::BIGINT AS len, count(*)::BIGINT AS n FROM pages GROUP BY 1",
-        "dedupe_brute": pairs_sql(URLS, 0.1), "dedupe_indexed": pairs_sql(URLS, 0.1), "find_duplicates_auto": pairs_sql(URLS, 0.2), "find_duplicates_wide": pairs_sql(URLS, 0.6), "find_duplicates_token_sort": pairs_sql(URLS, 0.1),
-        "find_duplicates_suppliers": supplier_pairs, "rule_numbers": pairs_sql(PARTS, 0.1, NORM, f"{numbers.format('sa')} = {numbers.format('sb')}"),
-        "link_brute": link_sql(0.2), "link_indexed": link_sql(0.2), "link_auto": link_sql(0.3),
-        "cluster_pairs": component + "SELECT group_id, id FROM c", "cluster_groups": component + "SELECT group_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM c GROUP BY group_id",
-        "index_query_many": hits.format(n=NORM, a=DISTINCT, b=PARTS, t=0.2), "index_query_wide": hits.format(n=NORM, a=DISTINCT, b=PARTS, t=0.6), "index_build": names, "index_roundtrip": names,
-        "index_query": f"SELECT id, levenshtein(name, 'small rings')::DOUBLE / greatest(length(name), 11) AS score FROM ({names}) WHERE levenshtein(name, 'small rings')::DOUBLE / greatest(length(name), 11) <= 0.2::DOUBLE",
-        "truth_pairs": truth,
-    }
