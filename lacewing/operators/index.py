@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacewing.functions.options import Normal, Rules, check_share
-from lacewing.functions.text import accepted, normalize
+from lacewing.functions.text import accepted, normalize, pair_score
 from lacewing.plans.budget import max_edits, segment_length, segment_start, stored_budgets
+from lacewing.plans.numbering import numbered_rows
 
 from .matching import BRUTE_FROM, lengths_of
 
-FORMAT, VERSION = "fuzzy-dedupe-index", 1  # fixed values of the interchange file
+FORMAT, VERSION = "lacewing-index", 1
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,7 @@ class NameIndex:
     def __init__(self, spark: SparkSession, path: str, settings: Settings = Settings()):
         self.spark, self.path, self.settings, self.size = spark, path.rstrip("/"), settings, 0
         self._batches: list[str] = []
+        self._firsts: list[int] = []  # the first id of each batch
 
     @classmethod
     def build(cls, names: DataFrame, path: str, settings: Settings = Settings(), id_col: str = "id", name_col: str = "name") -> NameIndex:
@@ -55,35 +57,48 @@ class NameIndex:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> NameIndex:
-        raw = json.loads("".join(r[0] for r in spark.read.text(f"{path.rstrip('/')}/meta").collect()))
+        """The index as its last complete write left it; each write leaves settings of its own, so none is ever replaced."""
+        written = [json.loads(r[0]) for r in spark.read.text(f"{path.rstrip('/')}/meta/*").toLocalIterator()]
+        raw = max(written, key=lambda x: len(x.get("batches", ())), default={})
         if raw.get("format") != FORMAT or raw.get("version") != VERSION:
             raise ValueError(f"{path} is not a {FORMAT} v{VERSION} index")
         out = cls(spark, path, Settings(**raw["settings"]))
-        out.size, out._batches = raw["size"], raw["batches"]
+        out.size, out._batches, out._firsts = raw["size"], raw["batches"], raw["firsts"]
+        return out
+
+    def before(self, batch: str) -> NameIndex:
+        """The index without that batch and later ones; all of it where it holds no such batch."""
+        out = NameIndex(self.spark, self.path, self.settings)
+        n = self._batches.index(batch) if batch in self._batches else len(self._batches)
+        out._batches, out._firsts, out.size = self._batches[:n], self._firsts[:n], ([*self._firsts, self.size])[n]
         return out
 
     def __len__(self) -> int:
         return self.size
 
-    def add(self, names: DataFrame, id_col: str = "id", name_col: str = "name") -> int:
-        """The first of the new, consecutive ids. Names already there are not indexed again."""
-        first, batch = self.size, uuid.uuid4().hex
+    def add(self, names: DataFrame, id_col: str = "id", name_col: str = "name", batch: str | None = None) -> int:
+        """The first of the new, consecutive ids. Names already there are not indexed again. A batch that has a name is added
+        once, however often it is handed over."""
+        if batch in self._batches:
+            return self._firsts[self._batches.index(batch)]
+        first, batch = self.size, batch or uuid.uuid4().hex
         ordered = names.select(F.col(id_col).alias("o"), F.col(name_col).cast("string").alias("name")).orderBy("o", "name")
-        rows = ordered.rdd.zipWithIndex().map(lambda x: (x[1] + first, x[0]["name"])).toDF("id long, name string")
-        rows.withColumn("norm", normalize(F.col("name"), self.settings.normal)).write.parquet(f"{self.path}/names/{batch}")
+        rows = numbered_rows(ordered.select("name"), first)
+        rows.withColumn("norm", normalize(F.col("name"), self.settings.normal)).write.mode("overwrite").parquet(f"{self.path}/names/{batch}")
         added = self.spark.read.parquet(f"{self.path}/names/{batch}")
         count = added.count()
         if self.settings.threshold < BRUTE_FROM and count:
-            self._segments(added).write.parquet(f"{self.path}/segments/{batch}")
+            self._segments(added).write.mode("overwrite").parquet(f"{self.path}/segments/{batch}")
         self.size += count
         self._batches.append(batch)
-        meta = {"format": FORMAT, "version": VERSION, "size": self.size, "batches": self._batches, "settings": asdict(self.settings)}
-        self.spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta")
+        self._firsts.append(first)
+        meta = {"format": FORMAT, "version": VERSION, "size": self.size, "batches": self._batches, "firsts": self._firsts, "settings": asdict(self.settings)}
+        self.spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta/{len(self._batches)}")
         return first
 
     def _segments(self, rows: DataFrame) -> DataFrame:
         table = [(n, k) for n in lengths_of(rows) for k in stored_budgets(n, self.settings.threshold)]
-        build = F.broadcast(self.spark.createDataFrame(table, "len int, k int"))
+        build = self.spark.createDataFrame(table, "len int, k int")
         cut = rows.withColumn("len", F.length("norm")).join(build, "len").select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("seg"))
         length, k, seg = F.col("len"), F.col("k"), F.col("seg")
         return cut.select("len", "k", "seg", F.substring(F.col("norm"), segment_start(length, k, seg) + 1, segment_length(length, k, seg)).alias("chunk"), "id")
@@ -112,8 +127,7 @@ class NameIndex:
         t, rules = self.settings.threshold, self.settings.rules
         asked = names.select(F.col(id_col).cast("long").alias("query_id"), normalize(F.col(name_col).cast("string"), self.settings.normal).alias("q"))
         stored = self._read("names", "id long, name string, norm string").select("id", "norm")
-        longest = F.greatest(F.length("q"), F.length("norm"))
-        score = F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein("q", "norm") / longest)
+        score = pair_score(F.col("q"), F.col("norm"))
         if t >= BRUTE_FROM:
             met = asked.join(stored, score <= F.lit(t))
         else:
@@ -132,7 +146,7 @@ class NameIndex:
             while n and m - max_edits(m, t) <= n:
                 table.append((n, m, k_n if m <= n else max_edits(m, t)))
                 m += 1
-        probe = F.broadcast(self.spark.createDataFrame(table, "n int, len int, k int"))
+        probe = self.spark.createDataFrame(table, "n int, len int, k int")
         seg, k, length = F.col("seg"), F.col("k"), F.col("len")
         rows = asked.withColumn("n", F.length("q")).join(probe, "n").select("*", F.explode(F.sequence(F.lit(0), k)).alias("seg"))
         start, size = segment_start(length, k, seg), segment_length(length, k, seg)

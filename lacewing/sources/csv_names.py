@@ -8,6 +8,8 @@ from typing import TextIO
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacewing.plans.numbering import numbered_rows
+
 
 def read_names(spark: SparkSession, path: str, column: str) -> DataFrame:
     """(id, name) of a UTF-8 CSV with a header; ids are positions from 0, missing cells are empty."""
@@ -15,7 +17,7 @@ def read_names(spark: SparkSession, path: str, column: str) -> DataFrame:
     if column not in table.columns:
         raise ValueError(f"no column {column!r} in {path}: {', '.join(table.columns)}")
     rows = table.select(F.coalesce(F.col(f"`{column}`"), F.lit("")).alias("name"))
-    return rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["name"])).toDF("id long, name string")
+    return numbered_rows(rows)
 
 
 def write_rows(rows: DataFrame, header: list[str], out: TextIO) -> int:

@@ -41,7 +41,7 @@ def test_clusters_and_options(spark):
     assert found(m.cluster(frame(spark, ["abcdefghij", "abcdefghix", "abcdefghxx", "zzzz"]), 0.1)) == {(0, 0), (0, 1), (0, 2)}
 
 
-def test_same_as_plain_matcher(spark):
+def test_same_as_plain_matcher(spark, tmp_path):
     rng = random.Random(3)
     names = ["".join(rng.choice("abcABCçÇşŞ ") for _ in range(rng.randint(0, 12))) for _ in range(60)]
     names += [n[:3] + "x" + n[4:] for n in names[:30]]
@@ -49,7 +49,7 @@ def test_same_as_plain_matcher(spark):
         want = pairs(names, t)
         for method in ("indexed", "brute"):
             assert found(m.find_duplicates(frame(spark, names), t, method=method)) == want, (t, method)
-    index = NameIndex.build(frame(spark, names[:50]), f"/tmp/lacewing-test-{rng.random()}", Settings(0.25))
+    index = NameIndex.build(frame(spark, names[:50]), str(tmp_path / "index"), Settings(0.25))
     assert index.add(frame(spark, names[50:])) == 50
     linked = found(m.link(frame(spark, names), frame(spark, names), 0.25))
     assert found(NameIndex.open(spark, index.path).hits(frame(spark, names))) == linked
@@ -94,3 +94,42 @@ def test_cli(spark, tmp_path):
 def test_stats(spark):
     row = m.stats(frame(spark, FIVE), 0.2).first()
     assert (row.found, row.all_pairs) == (3, 10) and 3 <= row.verified <= 10
+
+
+def test_cli_link_version_stdout(spark, tmp_path, capsys):
+    from lacewing.cli import main
+
+    (tmp_path / "l.csv").write_text('name\nAcme Ltd\nGlobex\n"Çelik, ""A""\nŞti"\n', encoding="utf-8")
+    (tmp_path / "r.csv").write_text('customer\nGLOBEX\nInitech\nacme ltd.\n"çelik, ""a"" şti"\n', encoding="utf-8")
+    assert main([str(tmp_path / "l.csv"), "--column", "name", "--link", str(tmp_path / "r.csv"), "--link-column", "customer"], spark) == 0
+    said = capsys.readouterr()
+    assert said.out.splitlines() == ["row,other_row,name,other_name,score", "1,3,Acme Ltd,acme ltd.,0.1111", "2,1,Globex,GLOBEX,0.0000", '3,4,"Çelik, ""A""', 'Şti","çelik, ""a"" şti",0.0000']
+    assert said.err.startswith("3 names, 3 matches against 4 rows, ")
+    with pytest.raises(SystemExit) as done:
+        main(["--version"], spark)
+    assert done.value.code == 0 and "lacewing" in capsys.readouterr().out
+
+
+def test_query_many_keeps_all_queries(spark, tmp_path):
+    index = NameIndex.build(frame(spark, FIVE), str(tmp_path / "index"), Settings(0.2))
+    asked = spark.createDataFrame([(7, "acme ltd"), (8, "nothing like it"), (9, "acme ltd"), (10, "")], "id long, name string")
+    got = {r.query_id: [(h.id, h.score) for h in r.hits] for r in index.query_many(asked).collect()}
+    assert got == {7: [(0, 0.0), (1, 0.0), (2, 1 / 9)], 8: [], 9: [(0, 0.0), (1, 0.0), (2, 1 / 9)], 10: []}
+    text = index.export_json()
+    again = NameIndex.import_json(spark, text, str(tmp_path / "again"))
+    assert again.export_json() == text and found(again.names()) == set(enumerate(FIVE))
+
+
+def test_stream_replay_adds_once(spark, tmp_path):
+    from lacewing.streaming.lookup import match_then_add
+
+    index, seen = NameIndex.build(frame(spark, FIVE), str(tmp_path / "index"), Settings(0.2)), []
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"id": 1, "name": "globex"}\n')
+    stream = spark.readStream.schema("id long, name string").json(str(tmp_path / "in"))
+    for k in range(2):  # the second run starts from a checkpoint folder of its own, so it replays batch 0
+        match_then_add(stream, index, lambda hits, n: seen.append(found(hits)), str(tmp_path / f"checkpoint{k}")).processAllAvailable()
+        for q in spark.streams.active:
+            q.stop()
+        index = NameIndex.open(spark, index.path)
+    assert seen == [{(1, 3, 0.0)}] * 2 and len(index) == 6
