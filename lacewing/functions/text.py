@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,3 +122,24 @@ def sketch_bound(a: Column, b: Column, buckets: int = 32) -> Column:
     count = lambda s, k: F.size(F.filter(chars(s), lambda c: F.pmod(F.ascii(c), F.lit(buckets)) == k))
     total = F.aggregate(F.sequence(F.lit(0), F.lit(buckets - 1)), F.lit(0), lambda acc, k: acc + F.abs(count(a, k) - count(b, k)))
     return F.ceil(total / 2).cast("int")
+
+
+SKETCH = ("k0", "k1", "k2")  # the columns of a sketch
+_COUNTS, _BITS = 10, 6  # counts in a number, bits of each
+
+
+def sketch(s: Column) -> list[Column]:
+    """Character counts over 30 hashed buckets, each up to 6 in unary, so that the bits in which two sketches differ are no
+    more than the counts differ by."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    count = lambda k: F.size(F.filter(chars, lambda c: F.pmod(F.ascii(c), F.lit(len(SKETCH) * _COUNTS)) == k))
+    unary = [F.element_at(F.array(*[F.lit((1 << n) - 1 << (_BITS * (k % _COUNTS))).cast("long") for n in range(_BITS + 1)]), F.least(count(k), F.lit(_BITS)) + 1) for k in range(len(SKETCH) * _COUNTS)]
+    both = lambda part: reduce(lambda a, b: a.bitwiseOR(b), part)
+    return [both(unary[j * _COUNTS : (j + 1) * _COUNTS]).alias(name) for j, name in enumerate(SKETCH)]
+
+
+def may_match(side: str, other: str, edits: Column) -> Column:
+    """Whether the sketches of two names, in columns that begin with side and other, allow so few edits: one edit changes
+    the counts by two at most."""
+    differ = sum((F.bit_count(F.col(f"{side}{k}").bitwiseXOR(F.col(f"{other}{k}"))) for k in SKETCH), F.lit(0))
+    return differ <= 2 * edits

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacewing.functions.options import Normal, Rules, check_method, check_share
-from lacewing.functions.text import accepted, normalize
+from lacewing.functions.text import SKETCH, accepted, may_match, normalize, sketch
 from lacewing.plans.budget import max_edits, segment_length, segment_start
 from lacewing.plans.graph import components
 from lacewing.plans.tables import settle
@@ -34,19 +34,21 @@ def lengths_of(strings: DataFrame) -> list[int]:
 
 
 def brute_pairs(strings: DataFrame, threshold: float) -> DataFrame:
-    """(s, r, score) of different strings, s below r, by comparing all. A condition on both ends, so Spark loops."""
-    a, b = strings.select(F.col("norm").alias("s"), F.length("norm").alias("ls")), strings.select(F.col("norm").alias("r"), F.length("norm").alias("lr"))
-    longest = F.greatest("ls", "lr")
-    score = F.levenshtein("s", "r") / F.greatest(longest, F.lit(1))
-    near = (F.col("s") < F.col("r")) & (F.greatest("ls", "lr") - F.least("ls", "lr") <= F.lit(threshold) * longest + 1e-9)
-    near = near & (F.expr(f"levenshtein(s, r, cast({threshold!r} * greatest(ls, lr) as int) + 1)") >= 0)  # bounded, so it ends early
+    """(s, r, score) of different strings, s below r, by comparing all. A condition on both ends, so Spark loops; lengths
+    and sketches rule most pairs out before a distance is computed."""
+    own = settle(strings.select("norm", F.length("norm").alias("l"), *sketch(F.col("norm"))))
+    a, b = (own.toDF(end, f"{end}_l", *[f"{end}_{k}" for k in SKETCH]) for end in "sr")
+    longest, shortest = F.greatest("s_l", "r_l"), F.least("s_l", "r_l")
+    edits = (F.lit(threshold) * longest).cast("int") + 1  # one more than rounding can lose
+    near = (F.col("s") < F.col("r")) & (longest - shortest <= edits) & may_match("s_", "r_", edits)
     cores = strings.sparkSession.sparkContext.defaultParallelism
-    return a.repartition(cores).join(b, near).select("s", "r", score.alias("score")).where(F.col("score") <= F.lit(threshold))
+    met = a.repartition(cores).join(b, near).withColumn("d", F.expr(f"levenshtein(s, r, cast({threshold!r} * greatest(s_l, r_l) as int) + 1)")).where("d >= 0")
+    return met.select("s", "r", (F.col("d") / F.greatest(longest, F.lit(1))).alias("score")).where(F.col("score") <= F.lit(threshold))
 
 
-def candidates(strings: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+def candidates(strings: DataFrame, threshold: float, keys: list[str], order: str | None = None) -> DataFrame:
     """Pairs of rows that share a segment: keys as s_* of the shorter and r_* of the longer, with s, r and k, once
-    for each segment. Of equally long ones, the smaller first key is s, or the smaller string without keys."""
+    for each segment. Of equally long ones, s is the smaller one by the key `order`, or by the string."""
     spark = strings.sparkSession
     lengths = [n for n in lengths_of(strings) if n]
     budget = {n: max_edits(n, threshold) for n in lengths}
@@ -63,16 +65,16 @@ def candidates(strings: DataFrame, threshold: float, keys: list[str]) -> DataFra
     lo, hi = F.greatest(start - seg, start + gap - (k - seg), F.lit(0)), F.least(start + seg, start + gap + (k - seg), big - size)
     probed = probed.withColumns({"lo": lo, "hi": hi, "size": size}).where("lo <= hi").withColumn("pos", F.explode(F.sequence("lo", "hi")))
     probed = probed.select("small", "big", "k", "seg", F.substring(F.col("norm"), F.col("pos") + 1, F.col("size")).alias("chunk"), F.col("norm").alias("r"), *[F.col(c).alias(f"r_{c}") for c in keys])
-    ordered = (F.col("small") < F.col("big")) | (F.col(f"s_{keys[0]}") < F.col(f"r_{keys[0]}") if keys else F.col("s") < F.col("r"))
+    ordered = (F.col("small") < F.col("big")) | (F.col(f"s_{order}") < F.col(f"r_{order}") if order else F.col("s") < F.col("r"))
     met = built.join(probed, ["small", "k", "seg", "chunk"]).where(ordered)
     return met.select("k", "s", "r", *[f"{side}_{c}" for side in "sr" for c in keys])
 
 
 def indexed_pairs(strings: DataFrame, threshold: float) -> DataFrame:
-    found = candidates(strings, threshold, [])
-    # most that meet are too far apart: those are told before the pairs are shuffled to make each stand once
-    near = found.withColumn("d", F.expr("levenshtein(s, r, k)")).where("d >= 0").select("s", "r", "d").distinct()
-    return near.select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r"), (F.col("d") / F.greatest(F.length("s"), F.length("r"))).alias("score"))
+    found = candidates(settle(strings.select("norm", *sketch(F.col("norm")))), threshold, list(SKETCH))
+    # most that meet are too far apart: their sketches tell, before the pairs are shuffled to make each stand once
+    near = found.where(may_match("s_", "r_", F.col("k"))).select("s", "r", "k").distinct()
+    return near.withColumn("d", F.expr("levenshtein(s, r, k)")).where("d >= 0").select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r"), (F.col("d") / F.greatest(F.length("s"), F.length("r"))).alias("score"))
 
 
 def use_brute(strings: DataFrame, threshold: float, method: str) -> bool:
@@ -153,7 +155,7 @@ def stats(names: DataFrame, threshold: float = 0.2, *, token_sort: bool = False,
     if threshold >= BRUTE_FROM or n < 2:
         return found.withColumns({"verified": F.lit(n * (n - 1) // 2).cast("long"), "all_pairs": F.lit(n * (n - 1) // 2).cast("long")})
     empties = rows.where("norm = ''").count()
-    verified = candidates(rows, threshold, ["id"]).select("s_id", "r_id").distinct().count() + empties * (empties - 1) // 2
+    verified = candidates(rows, threshold, ["id"], "id").select("s_id", "r_id").distinct().count() + empties * (empties - 1) // 2
     return found.withColumns({"verified": F.lit(verified).cast("long"), "all_pairs": F.lit(n * (n - 1) // 2).cast("long")})
 
 
