@@ -15,7 +15,6 @@ from __future__ import annotations
 import contextlib
 import os
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +107,14 @@ class WordTokens(dict):
                 yield from (np.frombuffer(b"".join([*map(get, w), last]), "<u4") for w in held)
                 held, n = [], 0
 
+    def size_of_prompt(self, text: str, characters: int) -> int:
+        """How many ids the words have that begin within so many characters."""
+        head = text[:characters]
+        if characters < len(text) and head[-1:].strip() and text[characters].strip():
+            head = _words(text, False)  # the word that the prompt ends in, whole
+            head = " ".join(head[: len(_words(text[:characters], False))])
+        return sum(len(x) for x in self.of_all([head], 0)) - 1
+
 
 def _words(text: str | None, plain: bool) -> list[str]:
     """str.split parts at the white space of Unicode, as the tokenizer does, and at four control characters that it keeps."""
@@ -127,21 +134,22 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#%&*()]{0,8})")
 
 
 class Packer:
-    """Sequences of one partition."""
+    """Sequences of one partition. A piece's ids from its loss_from on bear loss, those before (the prompt) do not."""
 
     def __init__(self, first: int, tokens: int, segments: int, loss: int, pool: int):
         self.limits, self.pool, self.next = np.array([tokens, segments, loss], float), pool, first
-        self.waiting: list[tuple] = []  # (doc, start, ids, doc_tokens)
+        self.waiting: list[tuple] = []  # (doc, start, ids, doc_tokens, loss_from in the document)
         self.demand = np.zeros((pool + tokens + 1, 3))
 
     def add(self, doc, ids: np.ndarray, loss_from: int = 0) -> Iterator[tuple]:
-        full, at, n = int(min(self.limits[0], self.limits[2])), 0, len(ids)
-        while n - at >= full:
-            yield self._piece((doc, at, ids[at : at + full], n), self._open(), 0)
+        at, n = 0, len(ids)
+        tokens, loss = int(self.limits[0]), int(self.limits[2])
+        while n - at >= (full := min(tokens, max(0, loss_from - at) + loss)):  # fills a sequence by itself
+            yield self._piece((doc, at, ids[at : at + full], n, loss_from), self._open(), 0)
             at += full
         if at < n:
-            self._wait((doc, at, ids[at:], n))
-            if len(self.waiting) >= self.pool and self.tokens_waiting() >= full:  # less than a sequence waits for more
+            self._wait((doc, at, ids[at:], n, loss_from))
+            if len(self.waiting) >= self.pool and self.tokens_waiting() >= min(tokens, loss):  # less than a sequence waits for more
                 yield from self._fill()
 
     def tokens_waiting(self) -> int:
@@ -151,9 +159,14 @@ class Packer:
         self.next += 1
         return self.next - 1
 
+    @staticmethod
+    def _needs(piece: tuple) -> tuple[int, int, int]:
+        """Tokens, segments and loss-bearing tokens."""
+        _, at, ids, _, loss_from = piece
+        return len(ids), 1, min(len(ids), max(0, at + len(ids) - loss_from))
+
     def _wait(self, piece: tuple) -> None:
-        k = len(piece[2])
-        self.demand[len(self.waiting)] = (k, 1, k)
+        self.demand[len(self.waiting)] = self._needs(piece)
         self.waiting.append(piece)
 
     def _take(self, i: int) -> tuple:
@@ -163,8 +176,8 @@ class Packer:
         return piece
 
     def _piece(self, piece: tuple, sequence: int, offset: int) -> tuple:
-        doc, at, ids, n = piece
-        return doc, at, len(ids), ids.tobytes(), n, len(ids), sequence, offset
+        doc, at, ids, n, _ = piece
+        return doc, at, len(ids), ids.tobytes(), n, self._needs(piece)[2], sequence, offset
 
     def _best(self, left: np.ndarray) -> int | None:
         """The waiting piece that fits with the largest dot product of demand and room, both as shares of the limits."""
@@ -173,21 +186,29 @@ class Packer:
         i = int(score.argmax())
         return i if score[i] >= 0 else None
 
+    def _cut(self, left: np.ndarray) -> tuple | None:
+        """As much as fits of the piece of which most fits, of equals the largest; the rest waits on."""
+        d = self.demand[: len(self.waiting)]
+        fits = np.minimum(left[0], d[:, 0] - d[:, 2] + left[2])
+        i = int(np.lexsort((-d[:, 0], -fits))[0])
+        room = int(fits[i])
+        if room < 1:
+            return None
+        doc, at, ids, n, loss_from = self._take(i)
+        self._wait((doc, at + room, ids[room:], n, loss_from))
+        return doc, at, ids[:room], n, loss_from
+
     def _fill(self) -> Iterator[tuple]:
         """One sequence from the pool."""
         sequence, left, offset = self._open(), self.limits.copy(), 0
-        while self.waiting and left.min() >= 1:
-            if (i := self._best(left)) is not None:
-                piece = self._take(i)
-            else:  # none fits: cut the largest to the room
-                piece, room = self._take(int(self.demand[: len(self.waiting), 0].argmax())), int(min(left[0], left[2]))
-                doc, at, ids, n = piece
-                piece = (doc, at, ids[:room], n)
-                self._wait((doc, at + room, ids[room:], n))
-            k = len(piece[2])
+        while self.waiting and left[0] >= 1 and left[1] >= 1:
+            i = self._best(left)
+            piece = self._take(i) if i is not None else self._cut(left)
+            if piece is None:
+                return
             yield self._piece(piece, sequence, offset)
-            offset += k
-            left -= (k, 1, k)
+            offset += len(piece[2])
+            left -= self._needs(piece)
 
     def finish(self) -> Iterator[tuple]:
         full = int(min(self.limits[0], self.limits[2]))
@@ -199,19 +220,21 @@ class Packer:
             sequence, offset = self._open(), 0
             room = int(self.limits[1])
             while offset < size and room:
-                doc, at, ids, n = self._take(0)
+                doc, at, ids, n, loss_from = self._take(0)
                 if offset + len(ids) > size:
                     cut = size - offset
-                    self._wait((doc, at + cut, ids[cut:], n))
+                    self._wait((doc, at + cut, ids[cut:], n, loss_from))
                     ids = ids[:cut]
-                yield self._piece((doc, at, ids, n), sequence, offset)
+                yield self._piece((doc, at, ids, n, loss_from), sequence, offset)
                 offset += len(ids)
                 room -= 1
 
 
-def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, tokens: int = 2048, segments: int = 64, loss: int = 2048, pool: int = 256) -> DataFrame:
+def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = 1, tokens: int = 2048, segments: int = 64, loss: int = 2048, pool: int = 256, prompt_col: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, start and length in its document's ids, ids (little-endian 32 bits), doc_tokens (with
-    the end token), loss_tokens, sequence_id, and offset in the sequence."""
+    the end token), loss_tokens, sequence_id, and offset in the sequence. prompt_col: how many characters at the start of a
+    text are its prompt, whose tokens bear no loss (null or no column: none; a word that begins in the prompt belongs to it).
+    No sequence holds more than so many tokens, segments or loss-bearing tokens."""
 
     schema = arrow_schema(PIECE)
 
@@ -224,8 +247,10 @@ def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
         rows, held = [], 0
         for batch in batches:
-            for doc, ids in zip(batch["doc_id"].to_pylist(), _tokens[tokenizer].of_all(batch["text"].to_pylist(), end), strict=True):
-                for x in packer.add(doc, ids):
+            texts, store = batch["text"].to_pylist(), _tokens[tokenizer]
+            prompts = [0 if not k or not t else store.size_of_prompt(t, k) for t, k in zip(texts, batch["prompt"].to_pylist(), strict=True)]
+            for doc, prompt, ids in zip(batch["doc_id"].to_pylist(), prompts, store.of_all(texts, end), strict=True):
+                for x in packer.add(doc, ids, prompt):
                     rows.append(x)
                     held += x[2]
                 if held >= 1 << 21:
@@ -235,13 +260,9 @@ def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         if rows:
             yield batch_of(rows)
 
-    return lean_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECE)
+    return lean_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(prompt_col) if prompt_col else F.lit(None)).cast("long").alias("prompt")), run, PIECE)
 
 
 def crc32_of(pieces: DataFrame) -> DataFrame:
     """The pieces with the unsigned CRC-32 of their ids' bytes in place of the ids."""
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-
-
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
