@@ -63,6 +63,30 @@ def osa_within_one(a: Column, words_long: list[str]) -> Column:
     return near | a.isin(swaps)
 
 
+def osa_distance(a: Column, b: Column) -> Column:
+    """Insertions, deletions, substitutions and swaps of neighbours from a to b, no part being edited twice. Of words: the
+    table is built in the row, its last two lines at a time."""
+    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+    x, y = chars(a), chars(b)
+    line = F.sequence(F.lit(0), F.size(y))
+
+    def next_line(acc: Column, i: Column) -> Column:
+        above, before = acc["last"], acc["earlier"]
+
+        def cell(new: Column, j: Column) -> Column:
+            same = F.get(x, i - 1) == F.get(y, j - 1)
+            swapped = (i > 1) & (j > 1) & (F.get(x, i - 1) == F.get(y, j - 2)) & (F.get(x, i - 2) == F.get(y, j - 1))
+            least = F.least(F.get(above, j) + 1, F.get(new, j - 1) + 1, F.get(above, j - 1) + F.when(same, 0).otherwise(1), F.when(swapped, F.get(before, j - 2) + 1))
+            return F.concat(new, F.array(least))
+
+        made = F.when(F.size(y) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(y))), F.array(i), cell)).otherwise(F.array(i))
+        return F.struct(above.alias("earlier"), made.alias("last"))
+
+    start = F.struct(line.alias("earlier"), line.alias("last"))
+    table = F.aggregate(F.when(F.size(x) > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x)))).otherwise(F.array().cast("array<int>")), start, next_line)
+    return F.element_at(table["last"], -1)
+
+
 def listed(word: Column, turkish: bool) -> Column:
     found = word.isin(LEGAL)
     if turkish:
@@ -88,6 +112,11 @@ def normalize(name: Column, options: Normal = Normal()) -> Column:
     return F.array_join(F.array_sort(ws) if options.token_sort else ws, " ")
 
 
+def tokens(norm: Column) -> Column:
+    """The words of a normalized name, sorted."""
+    return F.array_sort(F.filter(F.split(norm, " "), lambda w: w != ""))
+
+
 def is_ordinal(word: Column) -> Column:
     return word.isin(ORDINALS)
 

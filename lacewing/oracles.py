@@ -7,6 +7,7 @@ from lacewing.functions.text import LEGAL, LONG_LEGAL, ORDINALS, TURKISH_LEGAL
 TAIL = "CASE p_partkey % 5 WHEN 0 THEN ' Ltd.' WHEN 1 THEN ' LIMITED' WHEN 2 THEN '  Sanayi ve Tic. A.S.' WHEN 3 THEN ' 2' ELSE '' END"
 PARTS = f"SELECT p_partkey AS id, p_name || {TAIL} AS name FROM part"
 PLAIN = "SELECT p_partkey AS id, p_name AS name FROM part"
+ORDINAL = "SELECT p_partkey AS id, p_name || CASE p_partkey % 5 WHEN 0 THEN ' Onbirinci' WHEN 1 THEN ' İKİNCİ Fon' WHEN 2 THEN ' yuz' WHEN 3 THEN ' 3 YÜZÜNCÜ' ELSE ' Kırkbeşinci' END AS name FROM part"
 DISTINCT = "SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name"
 TURNED = "SELECT min(p_partkey) AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE array_to_string(list_reverse(string_split(p_name, ' ')), ' ') END AS name FROM part GROUP BY 2"
 URLS = "SELECT page_id AS id, url AS name FROM pages"
@@ -114,7 +115,8 @@ def oracle_sql() -> dict[str, str]:
         "normalize_default": normal(), "normalize_token_sort": normal(token_sort=True), "normalize_strip": normal(strip=True), "normalize_turkish": normal(turkish=True), "normalize_all": normal(token_sort=True, strip=True, turkish=True),
         "suffix_pieces": f"SELECT id, array_to_string({pieces('lower(name)')}, '|') AS pieces FROM ({PARTS})",
         "number_words": f"SELECT id, array_to_string({numbers('s')}, ' ') AS numbers FROM ({normal_rows(PARTS)})",
-        "turkish_ordinal": "SELECT p_partkey AS id, p_partkey % 4 <> 2 AS ordinal FROM part",
+        "tokens": f"SELECT id, array_to_string(list_sort(string_split(s, ' ')), '|') AS tokens FROM ({normal_rows(PARTS)})",
+        "turkish_ordinal": f"SELECT id, array_to_string({numbers('s', True)}, ' ') AS numbers FROM ({normal_rows(ORDINAL, turkish=True)})",
         "levenshtein": pair.format("levenshtein(a.name, b.name)::BIGINT AS distance"), "levenshtein_bounded": pair.format("CASE WHEN levenshtein(a.name, b.name) <= 3 THEN levenshtein(a.name, b.name) ELSE -1 END::BIGINT AS distance"),
         "pair_score": pair.format("levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS score"),
         "leftover_words": f"WITH p AS (SELECT id, lower(name) AS name FROM ({DISTINCT})) SELECT a.id AS id_a, b.id AS id_b, {leftover('a.name', 'b.name')} AS leftover FROM p a JOIN p b ON a.id < b.id",

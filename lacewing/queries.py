@@ -13,6 +13,7 @@ from lacewing.operators import matching as m
 from lacewing.operators.index import NameIndex, Settings
 from lacewing.plans.budget import max_edits, segment_length, segment_start, stored_budgets
 from lacewing.plans.tables import shared_dir
+from lacewing.sources import synthetic
 
 
 def _table(spark, d, name, key, col):
@@ -41,6 +42,12 @@ def distinct_parts(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "part", "p_partkey", "p_name").groupBy("name").agg(F.min("id").alias("id")).select("id", "name")
 
 
+def ordinal_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Part names with a number, an ordinal, or a word that is neither, by key."""
+    tail = F.element_at(F.array(*map(F.lit, (" Onbirinci", " İKİNCİ Fon", " yuz", " 3 YÜZÜNCÜ", " Kırkbeşinci"))), (F.col("id") % 5 + 1).cast("int"))
+    return plain_parts(spark, d).select("id", F.concat("name", tail).alias("name"))
+
+
 def turned_parts(spark: SparkSession, d: str) -> DataFrame:
     """Part names, those of odd keys with their words from last to first; one row for each."""
     name = F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.array_join(F.reverse(F.split("name", " ")), " "))
@@ -96,7 +103,9 @@ def queries() -> dict:
         "normalize_token_sort": _norm(Normal(token_sort=True)), "normalize_all": _norm(Normal(True, True, True)),
         "suffix_pieces": lambda s, d: parts(s, d).select("id", F.array_join(tx.suffix_pieces(F.lower("name")), "|").alias("pieces")),
         "number_words": lambda s, d: parts(s, d).select("id", F.array_join(tx.number_words(tx.normalize(F.col("name")), False), " ").alias("numbers")),
-        "turkish_ordinal": lambda s, d: parts(s, d).select("id", tx.is_ordinal(F.element_at(F.array(*[F.lit(w) for w in ("onbirinci", "birinci", "yuz", "yuzuncu")]), (F.col("id") % 4 + 1).cast("int"))).alias("ordinal")),
+        "tokens": lambda s, d: parts(s, d).select("id", F.array_join(tx.tokens(tx.normalize(F.col("name"))), "|").alias("tokens")),
+        "osa_distance": _per_pair(lambda: [tx.osa_distance(F.col("a"), F.col("b")).cast("long").alias("distance")]),
+        "turkish_ordinal": lambda s, d: ordinal_parts(s, d).select("id", F.array_join(tx.number_words(tx.normalize(F.col("name"), Normal(turkish=True)), True), " ").alias("numbers")),
         "levenshtein": _per_pair(lambda: [tx.levenshtein(F.col("a"), F.col("b")).cast("long").alias("distance")]),
         "levenshtein_bounded": _per_pair(lambda: [tx.levenshtein_bounded(F.col("a"), F.col("b"), 3).cast("long").alias("distance")]),
         "pair_score": _per_pair(lambda: [tx.pair_score(F.col("a"), F.col("b")).alias("score")]),
@@ -117,5 +126,6 @@ def queries() -> dict:
         "index_roundtrip": lambda s, d: NameIndex.open(s, _index(s, d).path).names(),
         "truth_pairs": lambda s, d: m.truth_pairs(suppliers(s, d).select("id", (F.col("id") % 10).alias("entity"))),
         "pair_quality": lambda s, d: m.pair_quality(m.find_duplicates(suppliers(s, d), 0.06), m.truth_pairs(suppliers(s, d).select("id", (F.col("id") % 10).alias("entity")))).select("tp", "precision", "recall", "f1"),
+        "synthetic_names": lambda s, d: synthetic.names(s, 2000), "synthetic_pairs": lambda s, d: m.find_duplicates(synthetic.names(s, 2000), 0.2), "messy_copies": lambda s, d: synthetic.variant(suppliers(s, d), 3),
     }
     return out
