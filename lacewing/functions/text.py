@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,12 +157,16 @@ _COUNTS, _BITS = 10, 6  # counts in a number, bits of each
 
 def sketch(s: Column) -> list[Column]:
     """Character counts over 30 hashed buckets, each up to 6 in unary, so that the bits in which two sketches differ are no
-    more than the counts differ by."""
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    count = lambda k: F.size(F.filter(chars, lambda c: F.pmod(F.ascii(c), F.lit(len(SKETCH) * _COUNTS)) == k))
-    unary = [F.element_at(F.array(*[F.lit((1 << n) - 1 << (_BITS * (k % _COUNTS))).cast("long") for n in range(_BITS + 1)]), F.least(count(k), F.lit(_BITS)) + 1) for k in range(len(SKETCH) * _COUNTS)]
-    both = lambda part: reduce(lambda a, b: a.bitwiseOR(b), part)
-    return [both(unary[j * _COUNTS : (j + 1) * _COUNTS]).alias(name) for j, name in enumerate(SKETCH)]
+    more than the counts differ by. A character fills the next bit of its bucket."""
+    buckets = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(len(SKETCH) * _COUNTS)))
+    shifted = lambda n, by: F.call_function("shiftleft", n, by)
+
+    def one_more(acc: Column, k: Column) -> Column:
+        at = _BITS * k
+        return acc.bitwiseOR(shifted(acc, F.lit(1)).bitwiseAND(shifted(F.lit((1 << _BITS) - 1).cast("long"), at))).bitwiseOR(shifted(F.lit(1).cast("long"), at))
+
+    part = lambda j: F.transform(F.filter(buckets, lambda k: (k >= j * _COUNTS) & (k < (j + 1) * _COUNTS)), lambda k: k - j * _COUNTS)
+    return [F.aggregate(part(j), F.lit(0).cast("long"), one_more).alias(name) for j, name in enumerate(SKETCH)]
 
 
 def may_match(side: str, other: str, edits: Column) -> Column:

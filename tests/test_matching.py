@@ -133,3 +133,16 @@ def test_stream_replay_adds_once(spark, tmp_path):
             q.stop()
         index = NameIndex.open(spark, index.path)
     assert seen == [{(1, 3, 0.0)}] * 2 and len(index) == 6
+
+
+def test_sketch_bounds_the_distance(spark):
+    from .oracle import distance
+
+    rng = random.Random(9)
+    words = ["", "aaaaaaaaaa", "aaaaaaa"] + ["".join(rng.choice("abcçŞ 0zy") for _ in range(rng.randint(0, 20))) for _ in range(30)]
+    rows = {r.w: [r[k] for k in tx.SKETCH] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", *tx.sketch(F.col("w"))).collect()}
+    count = lambda w: [sum(ord(c) % 30 == k for c in w) for k in range(30)]
+    for a in words:
+        for b in words:
+            differ = sum(bin(x ^ y).count("1") for x, y in zip(rows[a], rows[b], strict=True))
+            assert differ == sum(abs(min(6, x) - min(6, y)) for x, y in zip(count(a), count(b), strict=True)) <= 2 * distance(a, b)
