@@ -5,81 +5,173 @@ on the prefix alone. Distinct pre-tokens are inserted in a trie, whose nodes hol
 sorted order, so only the states on the way to the current node are held. A terminal node's count is stored by pre-token,
 and a document adds up the counts of its pre-tokens.
 
-Null and empty texts have 0 pre-tokens and 0 tokens. Ties go to fewer tokens. Characters outside the vocabulary cost a token
-for each UTF-8 byte. Repeated rows give repeated rows; null ids are carried; an empty table gives no rows; other columns
-are not read. The store of counts starts anew at a fixed number of pre-tokens, so a task's memory is bounded; only the
-vocabulary, of fixed size, is shipped.
+The pieces are those of a public vocabulary, which has no unigram scores of its own; the scores are fitted on all texts by
+rounds of expectation and maximisation over best segmentations: all pieces begin alike, each distinct pre-token counts its
+best segmentation's pieces as often as it stands, and a piece's next probability is its share of the counts plus one.
+
+Null and empty texts have 0 pre-tokens and 0 tokens. Ties go to fewer tokens, then to the longer last piece. Characters
+outside the vocabulary cost a token for each UTF-8 byte. Very long texts are split whole; what is held is their words.
+Repeated rows give repeated rows and count as often; null ids are carried; an empty table gives no rows, and equal scores;
+other columns are not read. The stores of words and of counts start anew at a fixed number of pre-tokens, so a task's memory
+is bounded; only the scores, one for each piece, go to the driver and to the tasks.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, words_of
+from .common import arrow_map, arrow_schema, discard, lean_map, passing, settle, words_of
 
 MARK = "▁"  # stands before a pre-token
+STORE = 500_000  # distinct pre-tokens that a task holds at once
 
 
-def unigram_scores(path: str) -> dict[str, float]:
-    """Piece: log probability, from the vocabulary file: by Zipf's law over the pieces' order, 1 / (rank + 1), normalised."""
+def pieces_of(path: str) -> list[str]:
+    """The pieces of the vocabulary file that stand for text."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-    total = math.log(sum(1 / (k + 1) for k in range(len(pieces))))
-    return {p: -math.log(k + 1) - total for k, p in enumerate(pieces)}
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+
+
+class Forward:
+    """Best scores of the prefixes on the way to a node of the trie. Words that come in sorted order share the states of
+    their common prefixes."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores = scores
+        self.longest = max(map(len, scores), default=1)
+        self.byte = min(scores.values(), default=0.0) - 10.0
+        self.path, self.states, self.begins = "", [(0.0, 0)], [0]  # (score, -tokens) and the last piece's start, or -1
+
+    def to(self, word: str) -> tuple[float, int]:
+        """The state at the node of the word."""
+        get, longest, path, states, begins = self.scores.get, self.longest, self.path, self.states, self.begins
+        k, most = 0, min(len(path), len(word))
+        while k < most and path[k] == word[k]:
+            k += 1
+        del states[k + 1 :], begins[k + 1 :]
+        for end in range(k + 1, len(word) + 1):
+            n = len(word[end - 1].encode())
+            score, less = states[end - 1]
+            best, begin = (score + n * self.byte, less - n), -1
+            for start in range(max(0, end - longest), end):
+                if (own := get(word[start:end])) is not None and (there := (states[start][0] + own, states[start][1] - 1)) > best:
+                    best, begin = there, start
+            states.append(best)
+            begins.append(begin)
+        self.path = word
+        return states[-1]
+
+    def pieces(self, word: str) -> list[str]:
+        """The pieces of its best segmentation, without bytes."""
+        self.to(word)
+        out, end = [], len(word)
+        while end:
+            start = self.begins[end]
+            if start >= 0:
+                out.append(word[start:end])
+            end = start if start >= 0 else end - 1
+        return out
 
 
 class TrieCounter(dict):
     """Pre-token (UTF-8 bytes): tokens of its best segmentation."""
 
-    def __init__(self, scores: dict[str, float], limit: int = 500_000):
+    def __init__(self, scores: dict[str, float], limit: int = STORE):
         super().__init__()
         self.limit, self.scores = limit, scores
-        self.longest = max(map(len, scores), default=1)
-        self.byte = min(scores.values(), default=0.0) - 10.0
 
     def insert(self, words: set[bytes]) -> None:
         """Counts for those not counted yet."""
         if len(self) + len(words) > self.limit:
             self.clear()
-        fresh = sorted(MARK + w.decode() for w in words if w not in self)
-        get, longest = self.scores.get, self.longest
-        path, states = "", [(0.0, 0)]  # the node's prefix; (score, -tokens) after each of its prefixes
-        for word in fresh:
-            k, most = 0, min(len(path), len(word))
-            while k < most and path[k] == word[k]:
-                k += 1
-            del states[k + 1 :]
-            for end in range(k + 1, len(word) + 1):
-                n = len(word[end - 1].encode())
-                score, less = states[end - 1]
-                best = (score + n * self.byte, less - n)
-                for start in range(max(0, end - longest), end):
-                    if (own := get(word[start:end])) is not None and (there := (states[start][0] + own, states[start][1] - 1)) > best:
-                        best = there
-                states.append(best)
-            path = word
-            self[word[1:].encode()] = -states[-1][1]
+        forward = Forward(self.scores)
+        for word in sorted(w for w in words if w not in self):
+            self[word] = -forward.to(MARK + word.decode())[1]
 
     def count(self, words: list[bytes]) -> int:
         return sum(map(self.__getitem__, words))
 
 
-_counters: dict[str, TrieCounter] = {}
+def _distinct(limit: int):
+    schema = arrow_schema("word binary, n long")
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], schema=schema)
+
+    def run(batches):
+        found = Counter()
+        for batch in batches:
+            for t in batch["text"].cast(pa.binary()):
+                found.update(words_of(t.as_py()))
+                if len(found) >= limit:
+                    yield out(found)
+                    found.clear()
+        if found:
+            yield out(found)
+
+    return run
+
+
+def _uses(vocabulary: str, values: np.ndarray):
+    schema = arrow_schema("piece string, n long")
+
+    def run(batches):
+        forward, used = Forward(dict(zip(pieces_of(vocabulary), values.tolist(), strict=True))), Counter()
+        for batch in batches:
+            for word, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                for piece in forward.pieces(MARK + word.decode()):
+                    used[piece] += n
+        if used:
+            yield pa.RecordBatch.from_arrays([pa.array(used.keys(), pa.string()), pa.array(used.values(), pa.int64())], schema=schema)
+
+    return run
+
+
+def unigram_scores(docs: DataFrame, vocabulary: str, text_col: str = "text", rounds: int = 2) -> dict[str, float]:
+    """Piece: log probability, fitted on all texts. Distinct pre-tokens are dealt by range, so that those with a common
+    prefix meet; the counts of pieces, as many as the vocabulary has, come to the driver."""
+    pieces = pieces_of(vocabulary)
+    scores = dict.fromkeys(pieces, -math.log(len(pieces))) if pieces else {}
+    with passing():
+        found = settle(lean_map(docs.select(F.col(text_col).cast("string").alias("text")), _distinct(STORE), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+        words = settle(found.repartitionByRange("word").sortWithinPartitions("word"))
+        discard(found)
+        for _ in range(rounds):
+            used = lean_map(words, _uses(vocabulary, np.array(list(scores.values()))), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+            counts = {r["piece"]: r["n"] for r in used.collect()}
+            total = math.log(sum(counts.values()) + len(pieces))
+            scores = {p: math.log(counts.get(p, 0) + 1) - total for p in pieces}
+    return scores
+
+
+_counters: dict[tuple[str, bytes], TrieCounter] = {}
+
+
+def _counter(vocabulary: str, values: np.ndarray) -> TrieCounter:
+    """The worker's store of counts under these scores."""
+    key = (vocabulary, values.tobytes())
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = TrieCounter(dict(zip(pieces_of(vocabulary), values.tolist(), strict=True)))
+    return _counters[key]
 
 
-def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pretokens and n_tokens of each whole text; pre-tokens are its words [^\\x20\\x09-\\x0D]+."""
-    import pyarrow as pa
+def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", scores: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_pretokens and n_tokens of each whole text; pre-tokens are its words [^\\x20\\x09-\\x0D]+. scores: the log
+    probability of each piece of the vocabulary, fitted on the texts themselves if not given."""
+    scores = unigram_scores(docs, vocabulary, text_col) if scores is None else scores
+    values = np.array([scores[p] for p in pieces_of(vocabulary)])
 
     def run(batch):
-        if vocabulary not in _counters:
-            _counters[vocabulary] = TrieCounter(unigram_scores(vocabulary))
-        counter, n, tokens = _counters[vocabulary], [], []
+        counter, n, tokens = _counter(vocabulary, values), [], []
         raw = batch["text"].cast(pa.binary())
         for at in range(0, len(raw), 1000):
             cut = [words_of(t) for t in raw[at : at + 1000].to_pylist()]
@@ -88,7 +180,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             tokens += map(counter.count, cut)
         return {"doc_id": batch["doc_id"], "n_pretokens": n, "n_tokens": tokens}
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_pretokens long, n_tokens long")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def vocabulary_path() -> str:

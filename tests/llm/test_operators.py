@@ -249,25 +249,51 @@ def test_chat_format(spark):
     assert chat_format.format_chats(df.where("false")).count() == 0
 
 
-def test_token_counts(docs):
+def segmented(word, scores, longest):
+    """(score, -tokens, pieces) of the best segmentation, each state on its own."""
+    low, state = min(scores.values()) - 10, [(0.0, 0, [])]
+    for end in range(1, len(word) + 1):
+        n = len(word[end - 1].encode())
+        best = (state[end - 1][0] + n * low, state[end - 1][1] - n, state[end - 1][2])
+        for s in range(max(0, end - longest), end):
+            if word[s:end] in scores and (way := (state[s][0] + scores[word[s:end]], state[s][1] - 1)) > best[:2]:
+                best = (*way, [*state[s][2], word[s:end]])
+        state.append(best)
+    return state[-1]
+
+
+def test_token_counts(spark, docs):
     path = token_counts.vocabulary_path()
-    scores = token_counts.unigram_scores(path)
-    low = min(scores.values()) - 10
-
-    def best(word):
-        state = [(0.0, 0)]
-        for end in range(1, len(word) + 1):
-            n = len(word[end - 1].encode())
-            ways = [(state[end - 1][0] + n * low, state[end - 1][1] - n)]
-            ways += [(state[s][0] + scores[word[s:end]], state[s][1] - 1) for s in range(end) if word[s:end] in scores]
-            state.append(max(ways))
-        return -state[-1][1]
-
-    rows = [r for r in docs[0] if len(r[1] or "") < 1400]
-    got = Counter(tuple(r) for r in token_counts.token_counts(docs[1], path).collect())
-    for r in rows:
-        w = words(r[1])
-        assert got[(r[0], len(w), sum(best("▁" + x) for x in w))]
+    pieces = token_counts.pieces_of(path)
+    longest = max(map(len, pieces))
+    texts = [r[1] if len(r[1] or "") < 1400 else "ab cd" for r in docs[0]]
+    df = spark.createDataFrame([(*r[:1], t, *r[2:]) for r, t in zip(docs[0], texts, strict=True)], SCHEMA).repartition(3)
+    found = Counter("▁" + w for t in texts for w in words(t))
+    scores, sums = dict.fromkeys(pieces, -math.log(len(pieces))), []
+    for _ in range(3):
+        ways = {w: segmented(w, scores, longest) for w in found}
+        sums.append(sum(n * ways[w][0] for w, n in found.items()))
+        used = Counter()
+        for w, n in found.items():
+            for p in ways[w][2]:
+                used[p] += n
+        last, scores = scores, {p: math.log((used[p] + 1) / (used.total() + len(pieces))) for p in pieces}
+    assert sums[1] > sums[0] and sums[2] >= sums[1] * 1.001
+    got = token_counts.unigram_scores(df, path)
+    assert got == pytest.approx(last, abs=1e-9)
+    want = Counter((r[0], len(words(t)), -sum(segmented("▁" + w, got, longest)[1] for w in words(t))) for r, t in zip(docs[0], texts, strict=True))
+    assert Counter(tuple(r) for r in token_counts.token_counts(df, path).collect()) == want
+    odd = spark.createDataFrame([("7", "a b", 1), (None, None, 2)], "doc_id string, text string, word int")
+    assert {tuple(r)[:2] for r in token_counts.token_counts(odd, path, scores=got).collect()} == {(7, 2), (None, 0)}
+    equal = token_counts.unigram_scores(df.where("false"), path)
+    assert max(equal.values()) == pytest.approx(min(equal.values())) == pytest.approx(-math.log(len(pieces)))
+    # a store that starts anew gives the same counts
+    small, large = token_counts.TrieCounter(got, limit=5), token_counts.TrieCounter(got)
+    for t in texts:
+        w = (t or "").encode().split()
+        for c in (small, large):
+            c.insert(set(w))
+        assert small.count(w) == large.count(w)
 
 
 def test_lm_score(docs):
