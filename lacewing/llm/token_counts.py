@@ -9,11 +9,11 @@ The pieces are those of a public vocabulary, which has no unigram scores of its
 rounds of expectation and maximisation over best segmentations: all pieces begin alike, each distinct pre-token counts its
 best segmentation's pieces as often as it stands, and a piece's next probability is its share of the counts plus one.
 
-Null and empty texts have 0 pre-tokens and 0 tokens. Ties go to fewer tokens, then to the longer last piece. Characters
+Null and empty texts have 0 pre-tokens and 0 tokens. Scores count in units of 2^-20. Ties go to fewer tokens, then to the longer last piece. Characters
 outside the vocabulary cost a token for each UTF-8 byte. Very long texts are split whole; what is held is their words.
 Repeated rows give repeated rows and count as often; null ids are carried; an empty table gives no rows, and equal scores;
 other columns are not read. The stores of words and of counts start anew at a fixed number of pre-tokens, so a task's memory
-is bounded; only the scores, one for each piece, go to the driver and to the tasks.
+is bounded by those and by a group of texts (or one text); only the scores, one for each piece, go to the driver and to the tasks.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, discard, lean_map, passing, settle, words_of
+from .common import arrow_schema, discard, lean_map, passing, settle, words_of
 
 MARK = "▁"  # stands before a pre-token
 STORE = 500_000  # distinct pre-tokens that a task holds at once
+GROUP = 16 << 20  # bytes of text whose pre-tokens are inserted together, so that more prefixes are shared
 
 
 def pieces_of(path: str) -> list[str]:
@@ -40,35 +41,68 @@ def pieces_of(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
 
 
+class Ends(dict):
+    """Up to three last characters: the sizes of four or more that a piece may have which ends in them, and (size, worth) of
+    the pieces that they are or end in, all descending. Starts anew at LIMIT."""
+
+    LIMIT = 200_000
+
+    def __init__(self, worth: dict[str, int]):
+        super().__init__()
+        self.worth = worth
+        self.longer: dict[str, list[int]] = {}
+        for end, size in sorted({(p[-3:], len(p)) for p in worth if len(p) > 3}, reverse=True):
+            self.longer.setdefault(end, []).append(size)
+
+    def __missing__(self, end: str) -> tuple[list[int], list[tuple[int, int]]]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        short = [(k, self.worth[end[-k:]]) for k in (3, 2, 1) if len(end) >= k and end[-k:] in self.worth]
+        found = self[end] = (self.longer.get(end, []), short)
+        return found
+
+
 class Forward:
-    """Best scores of the prefixes on the way to a node of the trie. Words that come in sorted order share the states of
-    their common prefixes."""
+    """Best states of the prefixes on the way to a node of the trie. Words that come in sorted order share the states of
+    their common prefixes. A state is one integer, the score in units of 1 / SCALE times TOKENS, less the number of tokens:
+    the greater is the better, and sums are exact."""
+
+    SCALE, TOKENS, NONE = 1 << 20, 1 << 32, -(1 << 200)
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
-        self.byte = min(scores.values(), default=0.0) - 10.0
-        self.path, self.states, self.begins = "", [(0.0, 0)], [0]  # (score, -tokens) and the last piece's start, or -1
+        self.worth = {p: round(s * self.SCALE) * self.TOKENS - 1 for p, s in scores.items()}
+        self.ends = Ends(self.worth)
+        self.byte = (round(min(scores.values(), default=0.0) * self.SCALE) - 10 * self.SCALE) * self.TOKENS - 1
+        self.path, self.states, self.begins = "", [0], [0]  # begins: the last piece's start, or -1 for bytes
 
-    def to(self, word: str) -> tuple[float, int]:
+    def to(self, word: str) -> int:
         """The state at the node of the word."""
-        get, longest, path, states, begins = self.scores.get, self.longest, self.path, self.states, self.begins
+        worth, ends, path, states, begins = self.worth.get, self.ends, self.path, self.states, self.begins
         k, most = 0, min(len(path), len(word))
         while k < most and path[k] == word[k]:
             k += 1
         del states[k + 1 :], begins[k + 1 :]
         for end in range(k + 1, len(word) + 1):
-            n = len(word[end - 1].encode())
-            score, less = states[end - 1]
-            best, begin = (score + n * self.byte, less - n), -1
-            for start in range(max(0, end - longest), end):
-                if (own := get(word[start:end])) is not None and (there := (states[start][0] + own, states[start][1] - 1)) > best:
-                    best, begin = there, start
+            best = self.NONE
+            longer, short = ends[word[end - 3 if end > 3 else 0 : end]]
+            for size in longer:
+                if size <= end and (of := worth(word[end - size : end])) is not None and (there := states[end - size] + of) > best:
+                    best, begin = there, end - size
+            for size, of in short:
+                if (there := states[end - size] + of) > best:
+                    best, begin = there, end - size
+            if not short or size > 1:  # bytes are worse than a piece for this character alone
+                there = states[end - 1] + len(word[end - 1].encode()) * self.byte
+                if there > best:
+                    best, begin = there, -1
             states.append(best)
             begins.append(begin)
         self.path = word
         return states[-1]
 
+    def tokens(self, word: str) -> int:
+        return -self.to(word) % self.TOKENS
+
     def pieces(self, word: str) -> list[str]:
         """The pieces of its best segmentation, without bytes."""
         self.to(word)
@@ -86,15 +120,17 @@ class TrieCounter(dict):
 
     def __init__(self, scores: dict[str, float], limit: int = STORE):
         super().__init__()
-        self.limit, self.scores = limit, scores
+        self.limit, self.forward = limit, Forward(scores)
 
     def insert(self, words: set[bytes]) -> None:
         """Counts for those not counted yet."""
-        if len(self) + len(words) > self.limit:
+        fresh = words - self.keys()
+        if len(self) + len(fresh) > self.limit:
             self.clear()
-        forward = Forward(self.scores)
-        for word in sorted(w for w in words if w not in self):
-            self[word] = -forward.to(MARK + word.decode())[1]
+            fresh = words
+        tokens = self.forward.tokens
+        for word in sorted(fresh):
+            self[word] = tokens(MARK + word.decode())
 
     def count(self, words: list[bytes]) -> int:
         return sum(map(self.__getitem__, words))
@@ -170,17 +206,26 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     scores = unigram_scores(docs, vocabulary, text_col) if scores is None else scores
     values = np.array([scores[p] for p in pieces_of(vocabulary)])
 
-    def run(batch):
-        counter, n, tokens = _counter(vocabulary, values), [], []
-        raw = batch["text"].cast(pa.binary())
-        for at in range(0, len(raw), 1000):
-            cut = [words_of(t) for t in raw[at : at + 1000].to_pylist()]
-            counter.insert(set().union(*cut))
-            n += map(len, cut)
-            tokens += map(counter.count, cut)
-        return {"doc_id": batch["doc_id"], "n_pretokens": n, "n_tokens": tokens}
-
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_pretokens long, n_tokens long")
+    schema = arrow_schema("doc_id long, n_pretokens long, n_tokens long")
+
+    def counted(held):
+        counter = _counter(vocabulary, values)
+        counter.insert(set().union(*(words_of(t.as_py()) for _, raw in held for t in raw)))
+        for ids, raw in held:
+            cut = [words_of(t.as_py()) for t in raw]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(map(len, cut), pa.int64()), pa.array(map(counter.count, cut), pa.int64())], schema=schema)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch["doc_id"], batch["text"].cast(pa.binary())))
+            size += held[-1][1].nbytes
+            if size >= GROUP:
+                yield from counted(held)
+                held, size = [], 0
+        yield from counted(held)
+
+    return lean_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def vocabulary_path() -> str:

@@ -251,12 +251,12 @@ def test_chat_format(spark):
 
 def segmented(word, scores, longest):
     """(score, -tokens, pieces) of the best segmentation, each state on its own."""
-    low, state = min(scores.values()) - 10, [(0.0, 0, [])]
+    unit, low, state = 1 << 20, min(scores.values()), [(0, 0, [])]
     for end in range(1, len(word) + 1):
         n = len(word[end - 1].encode())
-        best = (state[end - 1][0] + n * low, state[end - 1][1] - n, state[end - 1][2])
+        best = (state[end - 1][0] + n * (round(low * unit) - 10 * unit), state[end - 1][1] - n, state[end - 1][2])
         for s in range(max(0, end - longest), end):
-            if word[s:end] in scores and (way := (state[s][0] + scores[word[s:end]], state[s][1] - 1)) > best[:2]:
+            if word[s:end] in scores and (way := (state[s][0] + round(scores[word[s:end]] * unit), state[s][1] - 1)) > best[:2]:
                 best = (*way, [*state[s][2], word[s:end]])
         state.append(best)
     return state[-1]
