@@ -10,7 +10,8 @@ once in a million. In a key's group, members are held against its least member f
 component under a key, members of different components meet too, unless they hold too few shingles that stand in more than
 one component: what two sets share does. Such a meeting makes a pair only where the parities of the sets' shingles, counted
 by PARITY hash classes, differ in no more places than the sets themselves may: each place in which they differ holds a
-shingle of one set alone, so no link is lost. So no group of copies is expanded into all its pairs.
+shingle of one set alone, so no link is lost. It comes out under one of the keys that it shares, where the signatures are
+within the distance. So no group of copies is expanded into all its pairs.
 
 Equal sets are one class, whatever their doc_ids; the row smallest by doc_id, then by hash of its text, stands for a class
 or group. Null or empty text: an empty set, linked with nothing. A null doc_id counts as the largest, and rows that share
@@ -36,6 +37,8 @@ BASE = 0x9E3779B97F4A7C15
 CHUNK = 60_000  # shingles hashed at once: they stay in the cache
 PARITY = 512  # hash classes of shingles whose parities a class carries
 LEAD = 1 << 16  # marks the value left out at the first place of a chunk
+CHUNK_AT = 17  # the bits of v from here on are the number of its chunk
+LANES = 4  # places of a signature in a 64-bit number
 CLASS = "did long, tkey long, sid binary, n long, sig binary, z binary, size long, odd array<long>"
 
 
@@ -116,12 +119,40 @@ def _keys(hashes, far):
                         if k != out:
                             h = mixed(h * np.uint64(BASE) + sig[:, k], 5)
                     keys.append(h)
-                    left_out.append(sig[:, out].astype(np.int32) + (LEAD if out == a else 0))
+                    left_out.append(sig[:, out].astype(np.int32) + (LEAD if out == a else 0) + (c << CHUNK_AT))
             yield {"key": np.stack(keys, 1).reshape(-1).view("<i8"), "cid": np.repeat(part["cid"].to_numpy(), len(keys)), "v": np.stack(left_out, 1).reshape(-1)}
 
     return run
 
 
+def _lanes(hashes):
+    """Signatures as numbers of LANES places each."""
+
+    def run(batch):
+        sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), "<u2").reshape(-1, hashes)
+        lanes = np.pad(sig, ((0, 0), (0, -hashes % LANES))).view("<i8")
+        yield {"cid": batch["cid"], "s": batch["s"], "n": batch["n"], "odd": batch["odd"], "lanes": list(lanes)}
+
+    return run
+
+
+def meets_first(hashes: int, far: int) -> str:
+    """SQL: two signatures, in la and lb, differ in at most `far` places, and the chunk of the key under which they meet, told
+    by va, is the first that differs in one place at most. So a pair within the distance comes out under one key."""
+    masks = ("00FF00FF00FF00FF", "000F000F000F000F", "0003000300030003", "0001000100010001")
+    differ = "zip_with(la, lb, (x, y) -> x ^ y)"
+    for by, mask in zip((8, 4, 2, 1), masks, strict=True):  # a place that differs becomes its lowest bit
+        differ = f"transform({differ}, x -> (x | shiftrightunsigned(x, {by})) & {int(mask, 16)}L)"
+
+    def places(a: int, b: int) -> str:
+        bits = [(w, sum(1 << 16 * (k % LANES) for k in range(a, b) if k // LANES == w)) for w in range(a // LANES, (b - 1) // LANES + 1)]
+        return " + ".join(f"bit_count(get(d, {w}) & {m}L)" for w, m in bits)
+
+    bounds = chunk_bounds(hashes, far)
+    first = " ".join(f"WHEN {places(a, b)} <= 1 THEN {c}" for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)))
+    return f"exists(array({differ}), d -> {places(0, hashes)} <= {far} AND CASE {first} END = shiftright(va, {CHUNK_AT}))"
+
+
 def _close(hashes, far):
     def run(batch):
         if len(batch):
@@ -162,6 +193,19 @@ class Links:
         both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
         return arrow_map(both, _close(self.hashes, self.far), "a long, b long")
 
+    def across(self, open_: DataFrame, sizes: DataFrame) -> DataFrame:
+        """(a, b), once each, within the signature distance, of different components under a key; open_: key, cid, v, c;
+        sizes: cid, s (shingles that stand in more than one component), n, odd, lanes."""
+        percent = self.percent
+        left = open_.join(sizes, "cid").select("key", F.col("v").alias("va"), F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("odd").alias("oa"), F.col("lanes").alias("la"))
+        right = left.toDF("key", "vb", "b", "cb", "nb", "sb", "ob", "lb")
+        enough = F.expr(f"{100 + percent} * least(sa, sb) >= {percent} * (na + nb)")
+        apart = " + ".join(f"bit_count(get(oa, {k}) ^ get(ob, {k}))" for k in range(PARITY // 64))
+        alike = F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (na + nb)")
+        once = F.expr(f"va <> vb OR (va & {LEAD}) <> 0")  # a pair equal in the whole chunk counts under its first key alone
+        near = F.expr(meets_first(self.hashes, self.far))
+        return left.join(right, "key").where((F.col("ca") < F.col("cb")) & once & enough & alike & near).select("a", "b")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         full = self.classes.select("cid", "z", "size")
         both = pairs.join(full.toDF("a", "z_a", "size_a"), "a").join(full.toDF("b", "z_b", "size_b"), "b")
@@ -208,15 +252,9 @@ def class_links(classes: DataFrame, width: int, percent: int, hashes: int) -> Da
     shingle_rows = lambda: arrow_map(docs, _members(width), "g long, cid long, c long")
     common = settle(shingle_rows().groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("g"))
     shared = shingle_rows().join(common, "g", "left_semi").groupBy("cid").agg(F.count("*").alias("s"))
-    sizes = settle(shared.join(classes.select("cid", "n", "odd"), "cid").where(F.expr(f"100 * s >= {percent} * n")))
-    left = open_.join(sizes, "cid").select("key", F.col("v").alias("va"), F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("odd").alias("oa"))
-    right = left.toDF("key", "vb", "b", "cb", "nb", "sb", "ob")
-    enough = F.expr(f"{100 + percent} * least(sa, sb) >= {percent} * (na + nb)")
-    apart = " + ".join(f"bit_count(get(oa, {k}) ^ get(ob, {k}))" for k in range(PARITY // 64))
-    alike = F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (na + nb)")
-    once = F.expr(f"va <> vb OR va >= {LEAD}")  # a pair equal in the whole chunk counts under its first key alone
-    met = left.join(right, "key").where((F.col("ca") < F.col("cb")) & once & enough & alike).select("a", "b").distinct()
-    more = settle(links.confirmed(settle(links.close(met))))
+    sizes = shared.join(classes.select("cid", "n", "odd", "sig"), "cid").where(F.expr(f"100 * s >= {percent} * n"))
+    sizes = settle(arrow_map(sizes, _lanes(hashes), "cid long, s long, n long, odd array<long>, lanes array<long>"))
+    more = settle(links.confirmed(settle(links.across(open_, sizes))))
     return components(found.union(more), "a", "b")
 
 
