@@ -4,11 +4,14 @@ Names become distinct normalized strings first. Equal strings meet in an equi-jo
 below a half, by segments: of the shorter string cut in k + 1 parts one stands unchanged in the longer, at a place that k
 edits allow, so an equi-join on (length, k, segment, characters) finds every pair; the bounded edit distance confirms. From
 a half on, every pair is compared. All results are the same for every method.
+
+Pairs of strings are pairs of numbers; the rows that hold a string stand in blocks of at most BLOCK, so the pairs of rows
+are made where they are returned and never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacewing.functions.options import Normal, Rules, check_method, check_share
@@ -19,6 +22,8 @@ from lacewing.plans.tables import settle
 
 BRUTE_FROM = 0.5
 FEW = 5_000
+BLOCK = 4096  # rows of one string that go together
+TRIED, OFTEN = 1000, 0.05  # strings that are tried, and how often two must meet for comparing all to cost less
 
 
 def normalized(names: DataFrame, options: Normal, id_col: str = "id", name_col: str = "name", null_as_empty: bool = False) -> DataFrame:
@@ -33,17 +38,49 @@ def lengths_of(strings: DataFrame) -> list[int]:
     return sorted(r[0] for r in strings.select(F.length("norm")).distinct().collect())
 
 
-def brute_pairs(strings: DataFrame, threshold: float) -> DataFrame:
-    """(s, r, score) of different strings, s below r, by comparing all. A condition on both ends, so Spark loops; lengths
-    and sketches rule most pairs out before a distance is computed."""
-    own = settle(strings.select("norm", F.length("norm").alias("l"), *sketch(F.col("norm"))))
-    a, b = (own.toDF(end, f"{end}_l", *[f"{end}_{k}" for k in SKETCH]) for end in "sr")
-    longest, shortest = F.greatest("s_l", "r_l"), F.least("s_l", "r_l")
-    edits = (F.lit(threshold) * longest).cast("int") + 1  # one more than rounding can lose
-    near = (F.col("s") < F.col("r")) & (longest - shortest <= edits) & may_match("s_", "r_", edits)
-    cores = strings.sparkSession.sparkContext.defaultParallelism
-    met = a.repartition(cores).join(b, near).withColumn("d", F.expr(f"levenshtein(s, r, cast({threshold!r} * greatest(s_l, r_l) as int) + 1)")).where("d >= 0")
-    return met.select("s", "r", (F.col("d") / F.greatest(longest, F.lit(1))).alias("score")).where(F.col("score") <= F.lit(threshold))
+def numbered_strings(rows: DataFrame) -> DataFrame:
+    """(cid, norm, rows): a number for each distinct string; the table is written, so the numbers hold."""
+    return settle(rows.groupBy("norm").agg(F.count("*").alias("rows")).withColumn("cid", F.monotonically_increasing_id()))
+
+
+def blocks(rows: DataFrame, strings: DataFrame) -> DataFrame:
+    """(cid, block, ids): the ids of each string's rows, repeats included."""
+    held = rows.withColumn("row", F.monotonically_increasing_id()).join(strings, "norm")
+    place = F.pmod(F.xxhash64("row"), F.ceil(F.col("rows") / BLOCK))
+    return settle(held.groupBy("cid", place.alias("block")).agg(F.collect_list("id").alias("ids")))
+
+
+def spread(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y, score) of all rows of the pairs (s, r, score) of strings."""
+    met = pairs.join(left.select(F.col("cid").alias("s"), F.col("ids").alias("xs")), "s").join(right.select(F.col("cid").alias("r"), F.col("ids").alias("ys")), "r")
+    return met.select(F.explode("xs").alias("x"), "ys", "score").select("x", F.explode("ys").alias("y"), "score")
+
+
+def measured(strings: DataFrame, threshold: float) -> DataFrame:
+    """(cid, norm, l, e, sketch): e is the largest number of edits of which the share of l is at most the threshold."""
+    length, t = F.length("norm"), F.lit(float(threshold))
+    e = (t * length).cast("int")
+    share = lambda k: k / F.greatest(length, F.lit(1))
+    e = F.when(share(e) > t, e - 1).when((e < length) & (share(e + 1) <= t), e + 1).otherwise(e)
+    return settle(strings.select("cid", "norm", length.alias("l"), e.alias("e"), *sketch(F.col("norm"))))
+
+
+def compared(left: DataFrame, right: DataFrame, ok: Column, half: bool = False) -> DataFrame:
+    """(s, r, score) of measured strings within the threshold, by comparing all; half: s below r. ok: the pair rules, on s_norm
+    and r_norm. One condition on both ends, so Spark loops. It stands in the join, as a filter behind it would be moved in
+    front of its parts: lengths and sketches come first, then the distance, then the rules."""
+    a, b = (t.toDF(end, *[f"{end}_{k}" for k in ("norm", "l", "e", *SKETCH)]) for t, end in ((left, "s"), (right, "r")))
+    most, distance = F.greatest("s_e", "r_e"), F.expr("levenshtein(s_norm, r_norm, greatest(s_e, r_e))")
+    near = (F.abs(F.col("s_l") - F.col("r_l")) <= most) & may_match("s_", "r_", most) & (distance >= 0) & ok
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    met = a.repartition(4 * cores).join(b, (F.col("s") < F.col("r")) & near if half else near)
+    return met.select("s", "r", (distance / F.greatest("s_l", "r_l", F.lit(1))).alias("score"))
+
+
+def brute_pairs(strings: DataFrame, threshold: float, ok: Column) -> DataFrame:
+    """(s, r, score) of different strings, s below r."""
+    own = measured(strings, threshold)
+    return compared(own, own, ok, half=True)
 
 
 def candidates(strings: DataFrame, threshold: float, keys: list[str], order: str | None = None) -> DataFrame:
@@ -70,11 +107,15 @@ def candidates(strings: DataFrame, threshold: float, keys: list[str], order: str
     return met.select("k", "s", "r", *[f"{side}_{c}" for side in "sr" for c in keys])
 
 
-def indexed_pairs(strings: DataFrame, threshold: float) -> DataFrame:
-    found = candidates(settle(strings.select("norm", *sketch(F.col("norm")))), threshold, list(SKETCH))
+def indexed_pairs(strings: DataFrame, threshold: float, ok: Column) -> DataFrame:
+    """As brute_pairs."""
+    names = strings.select("cid", "norm")
+    found = candidates(settle(names.select("cid", "norm", *sketch(F.col("norm")))), threshold, ["cid", *SKETCH], "cid")
     # most that meet are too far apart: their sketches tell, before the pairs are shuffled to make each stand once
-    near = found.where(may_match("s_", "r_", F.col("k"))).select("s", "r", "k").distinct()
-    return near.withColumn("d", F.expr("levenshtein(s, r, k)")).where("d >= 0").select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r"), (F.col("d") / F.greatest(F.length("s"), F.length("r"))).alias("score"))
+    near = found.where(may_match("s_", "r_", F.col("k"))).select(F.col("s_cid").alias("s"), F.col("r_cid").alias("r"), "k").distinct()
+    both = near.join(names.toDF("s", "s_norm"), "s").join(names.toDF("r", "r_norm"), "r")
+    met = both.withColumn("d", F.expr("levenshtein(s_norm, r_norm, k)")).where("d >= 0").where(ok)
+    return met.select("s", "r", (F.col("d") / F.greatest(F.length("s_norm"), F.length("r_norm"))).alias("score"))
 
 
 def use_brute(strings: DataFrame, threshold: float, method: str) -> bool:
@@ -92,10 +133,20 @@ def use_brute(strings: DataFrame, threshold: float, method: str) -> bool:
     return True
 
 
-def string_pairs(strings: DataFrame, threshold: float, method: str) -> DataFrame:
-    """Up to FEW strings, comparing all costs less than the segments do; the result is the same."""
-    few = method == "auto" and strings.limit(FEW + 1).count() <= FEW
-    return brute_pairs(strings, threshold) if few or use_brute(strings, threshold, method) else indexed_pairs(strings, threshold)
+def meet_often(strings: DataFrame, threshold: float) -> bool:
+    """Whether segments tell little apart, as in addresses that begin alike: told by some strings, and only ever by which way
+    the pairs of all strings are found."""
+    some = settle(strings.orderBy(F.xxhash64("norm")).limit(TRIED).select("cid", "norm"))
+    n = some.count()
+    return candidates(some, threshold, ["cid"], "cid").count() > OFTEN * n * (n - 1) / 2
+
+
+def string_pairs(strings: DataFrame, threshold: float, method: str, ok: Column) -> DataFrame:
+    """Up to FEW strings, and where most segments are common, comparing all costs less than the segments do; the result is
+    the same."""
+    if use_brute(strings, threshold, method) or (method == "auto" and (strings.limit(FEW + 1).count() <= FEW or meet_often(strings, threshold))):
+        return brute_pairs(strings, threshold, ok)
+    return indexed_pairs(strings, threshold, ok)
 
 
 def find_duplicates(names: DataFrame, threshold: float = 0.2, *, token_sort: bool = False, strip_suffixes: bool = False, turkish: bool = False, numbers_must_match: bool = False, word_threshold: float | None = None, method: str = "auto", id_col: str = "id", name_col: str = "name", null_as_empty: bool = False) -> DataFrame:
@@ -105,11 +156,16 @@ def find_duplicates(names: DataFrame, threshold: float = 0.2, *, token_sort: boo
     check_method(method)
     rows = normalized(names, Normal(token_sort, strip_suffixes, turkish), id_col, name_col, null_as_empty)
     rows = settle(rows)
-    pairs = string_pairs(rows.select("norm").distinct(), threshold, method).where(accepted(F.col("s"), F.col("r"), rules))
-    a, b = rows.select(F.col("id").alias("x"), F.col("norm").alias("s")), rows.select(F.col("id").alias("y"), F.col("norm").alias("r"))
-    different = pairs.join(a, "s").join(b, "r").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "score")
-    equal = a.join(b, F.col("s") == F.col("r")).where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"), F.lit(0.0).alias("score"))
-    return different.unionByName(equal)
+    strings = numbered_strings(rows)
+    pairs = string_pairs(strings, threshold, method, accepted(F.col("s_norm"), F.col("r_norm"), rules))
+    held = blocks(rows, strings)
+    different = spread(pairs, held, held)
+    # rows of one string: the blocks of a string by twos, and each block's own rows by twos
+    repeated = held.join(strings.where("rows > 1").select("cid"), "cid", "left_semi")
+    twos = repeated.toDF("cid", "i", "xs").join(repeated.toDF("cid", "j", "ys"), "cid").where("i <= j")
+    equal = twos.select("i", "j", F.explode("xs").alias("x"), "ys").select("i", "j", "x", F.explode("ys").alias("y")).where("x < y OR (i < j AND x <> y)")
+    out = different.unionByName(equal.select("x", "y", F.lit(0.0).alias("score")))
+    return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "score")
 
 
 def link(left: DataFrame, right: DataFrame, threshold: float = 0.2, *, token_sort: bool = False, strip_suffixes: bool = False, turkish: bool = False, numbers_must_match: bool = False, word_threshold: float | None = None, method: str = "auto", id_col: str = "id", name_col: str = "name", null_as_empty: bool = False) -> DataFrame:
@@ -119,13 +175,10 @@ def link(left: DataFrame, right: DataFrame, threshold: float = 0.2, *, token_sor
     rules = Rules(numbers_must_match, word_threshold, turkish)
     options = Normal(token_sort, strip_suffixes, turkish)
     a, b = (settle(normalized(t, options, id_col, name_col, null_as_empty)) for t in (left, right))
-    strings = a.select("norm").union(b.select("norm")).distinct()
-    pairs = string_pairs(strings, threshold, method).where(accepted(F.col("s"), F.col("r"), rules))
-    both = pairs.union(pairs.select("r", "s", "score"))
-    x, y = a.select(F.col("id").alias("id_left"), F.col("norm").alias("s")), b.select(F.col("id").alias("id_right"), F.col("norm").alias("r"))
-    different = both.join(x, "s").join(y, "r").select("id_left", "id_right", "score")
-    equal = x.join(y, F.col("s") == F.col("r")).select("id_left", "id_right", F.lit(0.0).alias("score"))
-    return different.unionByName(equal)
+    strings = numbered_strings(a.select("norm").union(b.select("norm")))
+    pairs = string_pairs(strings, threshold, method, accepted(F.col("s_norm"), F.col("r_norm"), rules))
+    both = pairs.union(pairs.select("r", "s", "score")).union(strings.select("cid", "cid", F.lit(0.0)))
+    return spread(both, blocks(a, strings), blocks(b, strings)).toDF("id_left", "id_right", "score")
 
 
 def cluster(names: DataFrame, threshold: float = 0.2, **options) -> DataFrame:

@@ -146,3 +146,26 @@ def test_sketch_bounds_the_distance(spark):
         for b in words:
             differ = sum(bin(x ^ y).count("1") for x, y in zip(rows[a], rows[b], strict=True))
             assert differ == sum(abs(min(6, x) - min(6, y)) for x, y in zip(count(a), count(b), strict=True)) <= 2 * distance(a, b)
+
+
+def test_rows_of_a_string_go_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 2)
+    names = FIVE * 3 + [""] * 5
+    got = [tuple(r) for r in m.find_duplicates(frame(spark, names), 0.2).collect()]
+    want = pairs(names, 0.2)
+    assert len(got) == len(want) and set(got) == want
+    both = {(i, j, s) for a, b, s in want for i, j in ((a, b), (b, a))} | {(i, i, 0.0) for i in range(len(names))}
+    linked = [tuple(r) for r in m.link(frame(spark, names), frame(spark, names), 0.2).collect()]
+    assert len(linked) == len(both) and set(linked) == both
+    index = NameIndex.build(frame(spark, names), str(tmp_path / "index"), Settings(0.2))
+    segments = spark.read.parquet(f"{index.path}/segments/*")
+    assert segments.select("id").distinct().count() == 4  # one row of each of acme ltd, acme ltd., globex and ltd acme
+    assert found(index.hits(frame(spark, names))) == both
+
+
+def test_sketches_come_before_distances(spark):
+    strings = spark.createDataFrame([(k, n) for k, n in enumerate(FIVE)], "cid long, norm string")
+    ok = F.levenshtein("s_norm", "r_norm") >= F.lit(0)  # a rule
+    plan = m.brute_pairs(strings, 0.2, ok)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert 0 < join.index("bit_count") < join.index("levenshtein")
