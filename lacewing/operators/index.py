@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacewing.functions.options import Normal, Rules, check_share
-from lacewing.functions.text import accepted, normalize, pair_score
+from lacewing.functions.text import accepted, normalize
 from lacewing.plans.budget import max_edits, segment_length, segment_start, stored_budgets
 from lacewing.plans.numbering import numbered_rows
+from lacewing.plans.tables import settle
 
-from .matching import BRUTE_FROM, lengths_of
+from .matching import BRUTE_FROM, OFTEN, blocks, compared, lengths_of, measured, numbered_strings
 
 FORMAT, VERSION = "lacewing-index", 1
+TRIED = 100  # strings that are looked up first, to tell whether segments tell little apart
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,8 @@ class NameIndex:
         return self.size
 
     def add(self, names: DataFrame, id_col: str = "id", name_col: str = "name", batch: str | None = None) -> int:
-        """The first of the new, consecutive ids. Names already there are not indexed again. A batch that has a name is added
+        """The first of the new, consecutive ids. Names already there are not indexed again; of equal ones in a batch, the
+        segments hold the first. A batch that has a name is added
         once, however often it is handed over."""
         if batch in self._batches:
             return self._firsts[self._batches.index(batch)]
@@ -88,7 +91,7 @@ class NameIndex:
         added = self.spark.read.parquet(f"{self.path}/names/{batch}")
         count = added.count()
         if self.settings.threshold < BRUTE_FROM and count:
-            self._segments(added).write.mode("overwrite").parquet(f"{self.path}/segments/{batch}")
+            self._segments(added.groupBy("norm").agg(F.min("id").alias("id"))).write.mode("overwrite").parquet(f"{self.path}/segments/{batch}")
         self.size += count
         self._batches.append(batch)
         self._firsts.append(first)
@@ -118,41 +121,65 @@ class NameIndex:
 
     def query_many(self, names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
         """(query_id, hits): for each row the sorted array of (id, score), empty where nothing matches."""
-        found = self.hits(names, id_col, name_col).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("id", "score"))).alias("h"))
-        rows = names.select(F.col(id_col).cast("long").alias("query_id"))
-        return rows.join(found, "query_id", "left").select("query_id", F.coalesce("h", F.array().cast("array<struct<id:bigint,score:double>>")).alias("hits"))
+        asked = self._asked(names, id_col, name_col)
+        strings, found = self._found(asked)
+        # once for each different name, however many rows ask for it
+        found = found.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("id", "score"))).alias("h"))
+        told = strings.join(found, strings["cid"] == found["s"]).select("norm", "h")
+        return asked.join(told, "norm", "left").select(F.col("id").alias("query_id"), F.coalesce("h", F.array().cast("array<struct<id:bigint,score:double>>")).alias("hits"))
 
     def hits(self, names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
         """(query_id, id, score)."""
+        asked = self._asked(names, id_col, name_col).distinct()
+        strings, found = self._found(asked)
+        rows = asked.join(strings, "norm").select(F.col("id").alias("query_id"), F.col("cid").alias("s"))
+        return found.join(rows, "s").select("query_id", "id", "score")
+
+    def _asked(self, names: DataFrame, id_col: str, name_col: str) -> DataFrame:
+        return names.select(F.col(id_col).cast("long").alias("id"), normalize(F.col(name_col).cast("string"), self.settings.normal).alias("norm"))
+
+    def _found(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The different names asked for, by number, and (s, id, score) of what each finds. Equal stored names are compared
+        once."""
         t, rules = self.settings.threshold, self.settings.rules
-        asked = names.select(F.col(id_col).cast("long").alias("query_id"), normalize(F.col(name_col).cast("string"), self.settings.normal).alias("q"))
         stored = self._read("names", "id long, name string, norm string").select("id", "norm")
-        score = pair_score(F.col("q"), F.col("norm"))
-        if t >= BRUTE_FROM:
-            met = asked.join(stored, score <= F.lit(t))
-        else:
-            pairs = self._meet(asked)
-            empty = asked.where("q = ''").join(stored.where("norm = ''")).select("query_id", "id")
-            met = pairs.unionByName(empty).distinct().join(asked.distinct(), "query_id").join(stored, "id")
-        out = met.select("query_id", "id", "q", "norm", score.alias("score")).where(F.col("score") <= F.lit(t))
-        return out.where(accepted(F.col("q"), F.col("norm"), rules)).select("query_id", "id", "score")
+        strings = numbered_strings(asked.where("norm IS NOT NULL"))
+        ok = accepted(F.col("s_norm"), F.col("r_norm"), rules)
+        if t >= BRUTE_FROM or self._meets_often(strings):
+            rows = stored.where("norm IS NOT NULL")
+            held = numbered_strings(rows)
+            pairs = compared(measured(strings, t), measured(held, t), ok)
+            return strings, pairs.join(blocks(rows, held), F.col("r") == F.col("cid")).select("s", F.explode("ids").alias("id"), "score")
+        met = self._meet(strings).unionByName(strings.where("norm = ''").select(F.col("cid").alias("s")).join(stored.where("norm = ''").select("id"))).distinct()
+        met = met.join(stored.withColumnRenamed("norm", "r_norm"), "id").join(strings.select(F.col("cid").alias("s"), F.col("norm").alias("s_norm")), "s").select("s", "s_norm", "r_norm").distinct()
+        longest = F.greatest(F.length("s_norm"), F.length("r_norm"))
+        score = F.when(longest == 0, F.lit(0.0)).otherwise(F.expr(f"levenshtein(s_norm, r_norm, cast({t!r} * greatest(length(s_norm), length(r_norm)) as int) + 1)") / longest)
+        pairs = met.withColumn("score", score).where((F.col("score") >= 0) & (F.col("score") <= F.lit(t))).where(ok).select("s", F.col("r_norm").alias("norm"), "score")
+        return strings, pairs.join(stored, "norm").select("s", "id", "score")
+
+    def _meets_often(self, strings: DataFrame) -> bool:
+        """Whether the segments of many names are common, so that comparing all costs less; the result is the same."""
+        if strings.limit(TRIED + 1).count() <= TRIED:
+            return False
+        return self._meet(settle(strings.orderBy(F.xxhash64("norm")).limit(TRIED))).count() > OFTEN * TRIED * self.size
 
     def _meet(self, asked: DataFrame) -> DataFrame:
-        """(query_id, id) that share a segment; either side may be the longer, so places go k to both sides."""
+        """(s, id) that share a segment, s the number of a name asked for, once for each segment; either side may be the
+        longer, so places go k to both sides."""
         t = self.settings.threshold
         table = []
-        for n in lengths_of(asked.select(F.col("q").alias("norm"))):
+        for n in lengths_of(asked):
             k_n, m = max_edits(n, t), max(1, n - max_edits(n, t))
             while n and m - max_edits(m, t) <= n:
                 table.append((n, m, k_n if m <= n else max_edits(m, t)))
                 m += 1
         probe = self.spark.createDataFrame(table, "n int, len int, k int")
         seg, k, length = F.col("seg"), F.col("k"), F.col("len")
-        rows = asked.withColumn("n", F.length("q")).join(probe, "n").select("*", F.explode(F.sequence(F.lit(0), k)).alias("seg"))
+        rows = asked.withColumn("n", F.length("norm")).join(probe, "n").select("*", F.explode(F.sequence(F.lit(0), k)).alias("seg"))
         start, size = segment_start(length, k, seg), segment_length(length, k, seg)
         rows = rows.withColumns({"lo": F.greatest(start - k, F.lit(0)), "hi": F.least(start + k, F.col("n") - size), "size": size}).where("lo <= hi").withColumn("pos", F.explode(F.sequence("lo", "hi")))
-        rows = rows.select("query_id", "len", "k", "seg", F.substring(F.col("q"), F.col("pos") + 1, F.col("size")).alias("chunk")).distinct()
-        return rows.join(self._read("segments", "len int, k int, seg int, chunk string, id long"), ["len", "k", "seg", "chunk"]).select("query_id", "id")
+        rows = rows.select(F.col("cid").alias("s"), "len", "k", "seg", F.substring(F.col("norm"), F.col("pos") + 1, F.col("size")).alias("chunk")).distinct()
+        return rows.join(self._read("segments", "len int, k int, seg int, chunk string, id long"), ["len", "k", "seg", "chunk"]).select("s", "id")
 
     def export_json(self) -> str:
         """Settings and names as the interchange JSON; for indexes that fit the driver."""
