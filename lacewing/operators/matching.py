@@ -50,6 +50,11 @@ def blocks(rows: DataFrame, strings: DataFrame) -> DataFrame:
     return settle(held.groupBy("cid", place.alias("block")).agg(F.collect_list("id").alias("ids")))
 
 
+def dealt(few: DataFrame) -> DataFrame:
+    """Rows from which many are made, over all cores: a few small rows would stay in one task."""
+    return few.repartition(4 * few.sparkSession.sparkContext.defaultParallelism)
+
+
 def spread(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(x, y, score) of all rows of the pairs (s, r, score) of strings."""
     met = pairs.join(left.select(F.col("cid").alias("s"), F.col("ids").alias("xs")), "s").join(right.select(F.col("cid").alias("r"), F.col("ids").alias("ys")), "r")
@@ -162,7 +167,7 @@ def find_duplicates(names: DataFrame, threshold: float = 0.2, *, token_sort: boo
     different = spread(pairs, held, held)
     # rows of one string: the blocks of a string by twos, and each block's own rows by twos
     repeated = held.join(strings.where("rows > 1").select("cid"), "cid", "left_semi")
-    twos = repeated.toDF("cid", "i", "xs").join(repeated.toDF("cid", "j", "ys"), "cid").where("i <= j")
+    twos = dealt(repeated.toDF("cid", "i", "xs").join(repeated.toDF("cid", "j", "ys"), "cid").where("i <= j"))
     equal = twos.select("i", "j", F.explode("xs").alias("x"), "ys").select("i", "j", "x", F.explode("ys").alias("y")).where("x < y OR (i < j AND x <> y)")
     out = different.unionByName(equal.select("x", "y", F.lit(0.0).alias("score")))
     return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "score")
@@ -177,7 +182,7 @@ def link(left: DataFrame, right: DataFrame, threshold: float = 0.2, *, token_sor
     a, b = (settle(normalized(t, options, id_col, name_col, null_as_empty)) for t in (left, right))
     strings = numbered_strings(a.select("norm").union(b.select("norm")))
     pairs = string_pairs(strings, threshold, method, accepted(F.col("s_norm"), F.col("r_norm"), rules))
-    both = pairs.union(pairs.select("r", "s", "score")).union(strings.select("cid", "cid", F.lit(0.0)))
+    both = pairs.union(pairs.select("r", "s", "score")).union(dealt(strings.select("cid", "cid", F.lit(0.0))))
     return spread(both, blocks(a, strings), blocks(b, strings)).toDF("id_left", "id_right", "score")
 
 

@@ -169,3 +169,9 @@ def test_sketches_come_before_distances(spark):
     plan = m.brute_pairs(strings, 0.2, ok)._jdf.queryExecution().optimizedPlan().toString()
     join = next(line for line in plan.splitlines() if "Join Inner" in line)
     assert 0 < join.index("bit_count") < join.index("levenshtein")
+
+
+def test_equal_rows_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 2)
+    sizes = m.find_duplicates(frame(spark, ["acme"] * 40), 0.1).rdd.glom().map(len).collect()
+    assert sum(sizes) == 40 * 39 // 2 and sum(n > 0 for n in sizes) > 3
