@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacewing.functions.options import Normal, Rules, check_share
-from lacewing.functions.text import accepted, normalize
+from lacewing.functions.text import normalize
 from lacewing.plans.budget import max_edits, segment_length, segment_start, stored_budgets
 from lacewing.plans.numbering import numbered_rows
 from lacewing.plans.tables import settle
 
-from .matching import BRUTE_FROM, OFTEN, blocks, compared, lengths_of, measured, numbered_strings
+from .matching import BRUTE_FROM, OFTEN, all_near, blocks, compared, lengths_of, measured, numbered_strings, rule
 
 FORMAT, VERSION = "lacewing-index", 1
 TRIED = 100  # strings that are looked up first, to tell whether segments tell little apart
@@ -144,17 +144,17 @@ class NameIndex:
         t, rules = self.settings.threshold, self.settings.rules
         stored = self._read("names", "id long, name string, norm string").select("id", "norm")
         strings = numbered_strings(asked.where("norm IS NOT NULL"))
-        ok = accepted(F.col("s_norm"), F.col("r_norm"), rules)
+        ok = rule(rules)
         if t >= BRUTE_FROM or self._meets_often(strings):
             rows = stored.where("norm IS NOT NULL")
             held = numbered_strings(rows)
-            pairs = compared(measured(strings, t), measured(held, t), ok)
+            pairs = all_near(strings, held, t) if ok is None else compared(measured(strings, t), measured(held, t), ok)
             return strings, pairs.join(blocks(rows, held), F.col("r") == F.col("cid")).select("s", F.explode("ids").alias("id"), "score")
         met = self._meet(strings).unionByName(strings.where("norm = ''").select(F.col("cid").alias("s")).join(stored.where("norm = ''").select("id"))).distinct()
         met = met.join(stored.withColumnRenamed("norm", "r_norm"), "id").join(strings.select(F.col("cid").alias("s"), F.col("norm").alias("s_norm")), "s").select("s", "s_norm", "r_norm").distinct()
         longest = F.greatest(F.length("s_norm"), F.length("r_norm"))
         score = F.when(longest == 0, F.lit(0.0)).otherwise(F.expr(f"levenshtein(s_norm, r_norm, cast({t!r} * greatest(length(s_norm), length(r_norm)) as int) + 1)") / longest)
-        pairs = met.withColumn("score", score).where((F.col("score") >= 0) & (F.col("score") <= F.lit(t))).where(ok).select("s", F.col("r_norm").alias("norm"), "score")
+        pairs = met.withColumn("score", score).where((F.col("score") >= 0) & (F.col("score") <= F.lit(t))).where(F.lit(True) if ok is None else ok).select("s", F.col("r_norm").alias("norm"), "score")
         return strings, pairs.join(stored, "norm").select("s", "id", "score")
 
     def _meets_often(self, strings: DataFrame) -> bool:

@@ -11,6 +11,10 @@ are made where they are returned and never shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +22,15 @@ from lacewing.functions.options import Normal, Rules, check_method, check_share
 from lacewing.functions.text import SKETCH, accepted, may_match, normalize, sketch
 from lacewing.plans.budget import max_edits, segment_length, segment_start
 from lacewing.plans.graph import components
+from lacewing.plans.numbering import numbered_rows
 from lacewing.plans.tables import settle
 
+from .distances import near
+
 BRUTE_FROM = 0.5
 FEW = 5_000
 BLOCK = 4096  # rows of one string that go together
+GROUP, LONG = 4096, 512  # strings in a side of a cell; longer strings are compared in rows
 TRIED, OFTEN = 1000, 0.05  # strings that are tried, and how often two must meet for comparing all to cost less
 
 
@@ -82,8 +90,96 @@ def compared(left: DataFrame, right: DataFrame, ok: Column, half: bool = False)
     return met.select("s", "r", (distance / F.greatest("s_l", "r_l", F.lit(1))).alias("score"))
 
 
-def brute_pairs(strings: DataFrame, threshold: float, ok: Column) -> DataFrame:
-    """(s, r, score) of different strings, s below r."""
+def rule(rules: Rules) -> Column | None:
+    """The pair rules on s_norm and r_norm; None where there are none."""
+    return accepted(F.col("s_norm"), F.col("r_norm"), rules) if rules.numbers_must_match or rules.word_threshold is not None else None
+
+
+def grouped(strings: DataFrame, cells: int) -> tuple[DataFrame, int]:
+    """(g, pos, cid, norm): the strings in order, in groups of neighbours, and how many groups: at least `cells` of them
+    where there are so many strings."""
+    own = numbered_rows(strings.select("cid", "norm").orderBy("norm"), column="pos")
+    n = own.count()
+    most = min(max(cells, -(-n // GROUP)), max(1, n))
+    return own.select(F.floor(F.col("pos") * most / max(1, n)).cast("int").alias("g"), "pos", "cid", "norm"), most
+
+
+def cell_pairs(threshold: float, half: bool):
+    """The pairs (s, r, score) of cells that come one after the other, the texts of each in front of its patterns. half: a text
+    goes with the patterns behind it in the order, and s is the smaller number."""
+
+    def of(texts: list[tuple], patterns: list[tuple]) -> Iterator[pa.RecordBatch]:
+        (at, s, norm), (to, r, other) = (zip(*rows, strict=True) for rows in (texts, patterns))
+        at, s, to, r, size, long = (np.array(x, np.int64) for x in (at, s, to, r, [*map(len, norm)], [*map(len, other)]))
+        held, n = [], 0
+
+        def told() -> pa.RecordBatch:
+            i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            x, y = s[i], r[j]
+            if half:
+                x, y = np.minimum(x, y), np.maximum(x, y)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d / np.maximum(1, np.maximum(size[i], long[j])))], ["s", "r", "score"])
+
+        for i, j, d in near(norm, other, threshold):
+            if half and at[-1] >= to[0]:
+                behind = at[i] < to[j]
+                i, j, d = i[behind], j[behind], d[behind]
+            held.append((i, j, d))
+            n += len(i)
+            if n >= 1 << 17:
+                yield told()
+                held, n = [], 0
+        if n:
+            yield told()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+        for batch in batches:
+            for cell, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != now:
+                    if all(sides):
+                        yield from of(*sides)
+                    now, sides = cell, ([], [])
+                sides[side].append(row)
+        if all(sides):
+            yield from of(*sides)
+
+    return run
+
+
+def all_near(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+    """(s, r, score) of strings (cid, norm) within the threshold, by comparing all; right None: of left with itself, s below r.
+    Groups of neighbours in the order meet in cells, each of one task; the distances of a cell are computed together. Strings of
+    more than LONG characters are few as names go, and compared in rows."""
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    side = max(1, int((4 * cores) ** 0.5))
+    usual = lambda t: t.where(F.length("norm") <= LONG)
+    a, m = grouped(usual(left), side if right is not None else int(1.5 * side))
+    b, n = (a, m) if right is None else grouped(usual(right), side)
+    columns = ["pos", "cid", "norm"]
+    others = F.sequence("g", F.lit(m - 1)) if right is None else F.sequence(F.lit(0), F.lit(n - 1))
+    texts = a.select("*", F.explode(others).alias("h")).select((F.col("g") * n + F.col("h")).alias("cell"), F.lit(0).alias("side"), *columns)
+    others = F.sequence(F.lit(0), F.col("g")) if right is None else F.sequence(F.lit(0), F.lit(m - 1))
+    patterns = b.select("*", F.explode(others).alias("h")).select((F.col("h") * n + F.col("g")).alias("cell"), F.lit(1).alias("side"), *columns)
+    cells = texts.unionByName(patterns).repartitionByRange(m * (m + 1) // 2 if right is None else m * n, "cell").sortWithinPartitions("cell", "side", "pos")
+    met = cells.mapInArrow(cell_pairs(threshold, right is None), "s long, r long, score double")
+    long = lambda t: t.where(F.length("norm") > LONG)
+    for t in (left, right):
+        if t is None or not long(t).limit(1).count():
+            continue
+        if right is None:
+            met = met.union(compared(measured(long(left), threshold), measured(left, threshold), (F.col("r_l") <= LONG) | (F.col("s") < F.col("r"))).select(F.least("s", "r"), F.greatest("s", "r"), "score"))
+        elif t is left:
+            met = met.union(compared(measured(long(left), threshold), measured(right, threshold), F.lit(True)))
+        else:
+            met = met.union(compared(measured(usual(left), threshold), measured(long(right), threshold), F.lit(True)))
+    return met
+
+
+def brute_pairs(strings: DataFrame, threshold: float, ok: Column | None) -> DataFrame:
+    """(s, r, score) of different strings, s below r. ok: the pair rules, if there are any."""
+    if ok is None:
+        return all_near(strings, None, threshold)
     own = measured(strings, threshold)
     return compared(own, own, ok, half=True)
 
@@ -112,14 +208,14 @@ def candidates(strings: DataFrame, threshold: float, keys: list[str], order: str
     return met.select("k", "s", "r", *[f"{side}_{c}" for side in "sr" for c in keys])
 
 
-def indexed_pairs(strings: DataFrame, threshold: float, ok: Column) -> DataFrame:
+def indexed_pairs(strings: DataFrame, threshold: float, ok: Column | None) -> DataFrame:
     """As brute_pairs."""
     names = strings.select("cid", "norm")
     found = candidates(settle(names.select("cid", "norm", *sketch(F.col("norm")))), threshold, ["cid", *SKETCH], "cid")
     # most that meet are too far apart: their sketches tell, before the pairs are shuffled to make each stand once
     near = found.where(may_match("s_", "r_", F.col("k"))).select(F.col("s_cid").alias("s"), F.col("r_cid").alias("r"), "k").distinct()
     both = near.join(names.toDF("s", "s_norm"), "s").join(names.toDF("r", "r_norm"), "r")
-    met = both.withColumn("d", F.expr("levenshtein(s_norm, r_norm, k)")).where("d >= 0").where(ok)
+    met = both.withColumn("d", F.expr("levenshtein(s_norm, r_norm, k)")).where("d >= 0").where(F.lit(True) if ok is None else ok)
     return met.select("s", "r", (F.col("d") / F.greatest(F.length("s_norm"), F.length("r_norm"))).alias("score"))
 
 
@@ -146,7 +242,7 @@ def meet_often(strings: DataFrame, threshold: float) -> bool:
     return candidates(some, threshold, ["cid"], "cid").count() > OFTEN * n * (n - 1) / 2
 
 
-def string_pairs(strings: DataFrame, threshold: float, method: str, ok: Column) -> DataFrame:
+def string_pairs(strings: DataFrame, threshold: float, method: str, ok: Column | None) -> DataFrame:
     """Up to FEW strings, and where most segments are common, comparing all costs less than the segments do; the result is
     the same."""
     if use_brute(strings, threshold, method) or (method == "auto" and (strings.limit(FEW + 1).count() <= FEW or meet_often(strings, threshold))):
