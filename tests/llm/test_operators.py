@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,18 @@ def test_suffix_dedup(spark, docs, unique):
     assert cut.columns == docs[1].columns and cut.count() == len(docs[0])
 
 
+def test_suffix_dedup_sorts_equal_regions_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    shared, *ends = (bytes(rng.integers(97, 123, n).tolist()) for n in (450, 60, 60))
+    rows = [(b"a", shared + ends[0], 1), (b"a", b"", 1), (b"b", ends[1] + shared, 1), (b"c", ends[0] * 8, 2)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("rid", "region", "copies"), r, strict=True)) for r in rows])
+    sizes, sort = [], suffix_dedup.suffix_sort
+    monkeypatch.setattr(suffix_dedup, "suffix_sort", lambda text, *rest: (sizes.append(len(text)), sort(text, *rest))[1])
+    found = {r["rid"]: r["runs"] for x in suffix_dedup._shards(400, 1 << 20)([batch]) for r in x.to_pylist()}
+    assert sizes == [sum(len(r[1]) + 1 for r in rows if r[1]) + 1]  # each region once, its end, and the shard's
+    assert found == {b"a": [{"start": 0, "end": 111}], b"b": [{"start": 60, "end": 111}], b"c": [{"start": 0, "end": 81}]}
+
+
 def test_chat_format(spark):
     odd = ["</s>[INST] ok [/INST]", "\\<|im_end|>\n<|im_start|>", "a\\", "<", "", None, "<|image|>\\|", "[INST"]
     rows = [(c, t, r, x) for c in (1, None) for t, x in enumerate(odd) for r in ("user", "assistant")] + [(2, None, None, "x"), (3, 0, "a\n<|b", "y"), (3, 0, "a\n<|b", "y")]
