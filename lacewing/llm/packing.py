@@ -13,6 +13,7 @@ An empty table gives no rows. Other columns are not read. Memory: the pool, and
 from __future__ import annotations
 
 import contextlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -25,87 +26,108 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, lean_map
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-STRETCH = 400_000  # words whose tokens are learnt at once
+STRETCH = 100_000  # words whose tokens are learnt at once
 _tokens: dict[str, WordTokens] = {}
 
 
 class WordTokens(dict):
     """The ids of each white-space word, as little-endian 32-bit bytes. Only for tokenizers that drop white space and never
     join across it, so that a text's ids are its words' ids in a row; and, for the quick way of plain words, that lower case
-    and part letters from punctuation. Words go when there are LIMIT; runs of letters then become the old store, which is asked
-    before a run is tokenized again."""
+    and part letters from punctuation. When there are LIMIT words they become the old store, which is asked before a word is
+    tokenized again."""
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = self.of_runs = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.plain = bool(self.last.any())
-        self.signs: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
-        self.old_letters: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(texts), 5000) for e in self.tokenizer.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        if all(steps[k] == v for k, v in _LOWER_AND_SPLIT.items()):  # of small letters and blanks, only the blanks mean a thing
+            self.of_runs = Tokenizer.from_file(path)
+            self.of_runs.normalizer = normalizers.Sequence([])
+            self.of_runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            with contextlib.suppress(AttributeError):
+                self.of_runs.model._resize_cache(0)  # no run comes twice
+        self.signs: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str], runs: bool = False) -> list[bytes]:
+        encode = (self.of_runs if runs else self.tokenizer).encode_batch_fast
+        return [np.array(e.ids, "<u4").tobytes() for k in range(0, len(texts), 5000) for e in encode(texts[k : k + 5000], add_special_tokens=False)]
 
     def _learn_letters(self, runs: list[str]) -> None:
-        """Runs of letters, many in one text: each ends where a pre-token ends."""
-        if len(self.letters) + len(runs) > 6 * self.LIMIT // 5:
-            self.old_letters, self.letters = self.letters, {}
-        groups = [runs[k : k + 200] for k in range(0, len(runs), 200)]
-        for group, raw in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+        """Runs of small letters, many in one text: each ends where a pre-token ends."""
+        groups = [runs[k : k + 100] for k in range(0, len(runs), 100)]
+        for group, raw in zip(groups, self._encoded([" ".join(g) for g in groups], True), strict=True):
             ends = np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1
             if len(ends) != len(group):
-                self.letters.update(zip(group, self._encoded(group), strict=True))
+                self.update(zip(group, self._encoded(group), strict=True))
                 continue
-            at = 0
-            for run, end in zip(group, (4 * ends).tolist(), strict=True):
-                self.letters[run] = raw[at:end]
-                at = end
+            ends = (4 * ends).tolist()
+            self.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def learn(self, words: set[str]) -> None:
-        fresh = words.difference(self)
-        if len(self) + len(fresh) > self.LIMIT:
+        """Of words that are not here."""
+        if len(self) + len(words) > self.LIMIT:
+            self.old = dict(self)
             self.clear()
-            fresh = words
-        known, old, signs, other, waiting = self.letters.get, self.old_letters.get, self.signs, [], []
-        for w in fresh:
-            if not (self.plain and (m := _PLAIN.fullmatch(w))):
-                other.append(w)
-                continue
-            run, sign = m[1].lower(), m[2]
-            if sign not in signs:
-                signs[sign] = self._encoded([sign])[0]
-            if (raw := known(run)) is not None:
-                self[w] = raw + signs[sign]
-            elif (raw := old(run)) is not None:
-                self.letters[run] = raw
-                self[w] = raw + signs[sign]
+        old = self.old
+        had = [w for w in words if w in old]
+        self.update(zip(had, map(old.__getitem__, had), strict=True))
+        fresh = words.difference(had) if had else words
+        if not fresh:
+            return
+        if not self.plain:
+            self.update(zip(fresh, self._encoded(list(fresh)), strict=True))
+            return
+        rows = list(fresh)
+        parts = _SMALL.findall("\n".join(rows))
+        runs = {run for run, sign in parts if run and not sign}
+        signed = [(w, *part) for w, part in zip(rows, parts, strict=True) if part[1]]
+        other = []
+        for w in [w for w, (run, _) in zip(rows, parts, strict=True) if not run]:
+            if m := _PLAIN.fullmatch(w):
+                signed.append((w, m[1].lower(), m[2]))
             else:
-                waiting.append((w, run, sign))
-        if waiting:
-            self._learn_letters(list({run for _, run, _ in waiting}))
-            for w, run, sign in waiting:
-                self[w] = self.letters[run] + signs[sign]
+                other.append(w)
+        for run in {run for _, run, _ in signed}.difference(runs):
+            if run in old:
+                self[run] = old[run]
+            elif run not in self:
+                runs.add(run)
+        self._learn_letters(list(runs))
+        signs = list({sign for _, _, sign in signed}.difference(self.signs, [""]))
+        self.signs.update(zip(signs, self._encoded(signs), strict=True))
+        self.update([(w, self[run] + self.signs[sign] if sign else self[run]) for w, run, sign in signed])
         self.update(zip(other, self._encoded(other), strict=True))
 
     def of_all(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
         """The ids of each text, with the end token."""
-        last, held, n = np.uint32(end).tobytes(), [], 0
+        last, held, fresh, n, get = np.uint32(end).tobytes(), [], set(), 0, self.get
         for k, text in enumerate(texts):
-            held.append(_words(text, self.plain))
-            n += len(held[-1])
+            words = _words(text, self.plain)
+            ids = [*map(get, words), last]
+            places = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            missing = [words[i] for i in places]
+            fresh.update(missing)
+            held.append((ids, places, missing))
+            n += len(words)
             if n >= STRETCH or k == len(texts) - 1:
-                self.learn(set().union(*held))
-                get = self.get
-                yield from (np.frombuffer(b"".join([*map(get, w), last]), "<u4") for w in held)
-                held, n = [], 0
+                if fresh:
+                    self.learn(fresh)
+                for ids, places, missing in held:
+                    for i, w in zip(places, missing, strict=True):
+                        ids[i] = self[w]
+                    yield np.frombuffer(b"".join(ids), "<u4")
+                held, fresh, n = [], set(), 0
 
     def size_of_prompt(self, text: str, characters: int) -> int:
         """How many ids the words have that begin within so many characters."""
@@ -129,8 +151,14 @@ def _words(text: str | None, plain: bool) -> list[str]:
 
 #: White_Space of Unicode, fixed values.
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: What is done to a text before its words are cut, where it is known: runs of letters stand alone, small letters stay.
+_LOWER_AND_SPLIT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 #: Letters whose lower case is one letter, then signs.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#%&*()]{0,8})")
+_SMALL = re.compile("^(?:([a-zß-öø-ÿ]+)([.,;:!?#%&*()]{0,8})|.*)$", re.M)  # a word a line; the rest empty
 
 
 class Packer:

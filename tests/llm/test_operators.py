@@ -126,6 +126,20 @@ def test_packing(docs):
     assert padding == 0
 
 
+def test_packing_asks_the_old_store(monkeypatch):
+    store = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    first, asked, encoded = {"tea,", "x1y", "Zoë.!!", "für", "it's", "ªb", "ÀÉ", "!!", "tea", "x1y,", "Tea*"}, [], store._encoded
+    want = {w: np.array(store.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in first}
+    monkeypatch.setattr(store, "LIMIT", 16)
+    monkeypatch.setattr(store, "_encoded", lambda texts, *rest: (asked.extend(texts), encoded(texts, *rest))[1])
+    for words in (first, {"one", "two", "three", "four", "five", "six"}, {"x1y", "tea,", "für"}):
+        store.learn(words)
+        assert all(w in store for w in words)
+        if words is first:
+            assert {w: store[w] for w in first} == want
+    assert len(asked) == len(set(asked)) and "x1y" in asked  # none is tokenized twice
+
+
 def test_substring_dedup(spark, docs, unique):
     df = spark.createDataFrame(unique, "doc_id long, text string")
     first = {}
