@@ -13,8 +13,8 @@ import numpy as np
 
 from lacewing.plans.budget import max_edits
 
-WIDE = 2048  # patterns that go together: their columns stay in a processor's cache
-HELD, TOGETHER = 4 * WIDE, 32  # patterns of which some are chosen, for so many texts
+WIDE = 8192  # patterns that go together: a step over fewer costs mostly its calls
+HELD, TOGETHER = WIDE, 32  # patterns of which some are chosen, for so many texts
 SHARE = 0.7  # of the patterns: where more are chosen, all are taken
 BUCKETS, BITS = 61, 4  # character counts, each up to BITS in unary
 MOST = 32 << 20  # bytes that the columns of one text, or the places of characters, may take

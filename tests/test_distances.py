@@ -101,3 +101,12 @@ def test_names_that_meet_often_are_compared_at_once(spark, monkeypatch):
     assert "MapInArrow" in plan and "levenshtein" not in plan
     got, want = [tuple(r) for r in df.collect()], pairs(some, 0.2)
     assert len(got) == len(want) and set(got) == want
+
+
+def test_patterns_of_a_cell_go_together(monkeypatch):
+    seen, columns = [], distances.Columns
+    monkeypatch.setattr(distances, "Columns", lambda p, room: (seen.append(p.n), columns(p, room))[1])
+    text, patterns = "https://example.com/77", [f"http://example.org/{k}" for k in range(2500)]
+    found = {j: d for _, b, e in distances.near([text], patterns, 0.6) for j, d in zip(b.tolist(), e.tolist(), strict=True)}
+    assert seen == [2500]
+    assert found == {j: d for j, p in enumerate(patterns) if (d := distance(text, p)) <= 0.6 * max(len(text), len(p))}
