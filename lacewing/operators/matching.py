@@ -29,7 +29,8 @@ from .distances import code_points, near
 
 BRUTE_FROM = 0.5
 FEW = 5_000
-BLOCK = 4096  # rows of one string that go together
+BLOCK = 256  # rows of one string that go together: Spark holds all that two blocks make before it goes on
+MANY = 16  # rows of a string, from which blocks are dealt
 GROUP, LONG = 8192, 512  # strings in a side of a cell; longer strings are compared in rows
 TRIED, OFTEN = 1000, 0.05  # strings that are tried, and how often two must meet for comparing all to cost less
 
@@ -63,9 +64,17 @@ def dealt(few: DataFrame) -> DataFrame:
     return few.repartition(4 * few.sparkSession.sparkContext.defaultParallelism)
 
 
-def spread(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(x, y, score) of all rows of the pairs (s, r, score) of strings."""
+def many_rows(strings: DataFrame) -> bool:
+    """Whether a string stands for so many rows that blocks go over all cores before their rows are made."""
+    return (strings.agg(F.avg("rows")).first()[0] or 0) >= MANY
+
+
+def spread(pairs: DataFrame, left: DataFrame, right: DataFrame, many: bool = False) -> DataFrame:
+    """(x, y, score) of all rows of the pairs (s, r, score) of strings. many: few pairs of blocks make many rows, so they are
+    dealt; their ids are a small part of what is made."""
     met = pairs.join(left.select(F.col("cid").alias("s"), F.col("ids").alias("xs")), "s").join(right.select(F.col("cid").alias("r"), F.col("ids").alias("ys")), "r")
+    if many:
+        met = dealt(met.select("xs", "ys", "score"))
     return met.select(F.explode("xs").alias("x"), "ys", "score").select("x", F.explode("ys").alias("y"), "score")
 
 
@@ -272,7 +281,7 @@ def find_duplicates(names: DataFrame, threshold: float = 0.2, *, token_sort: boo
     strings = numbered_strings(rows)
     pairs = string_pairs(strings, threshold, method, rule(rules))
     held = blocks(rows, strings)
-    different = spread(pairs, held, held)
+    different = spread(pairs, held, held, many_rows(strings))
     # rows of one string: the blocks of a string by twos, and each block's own rows by twos
     repeated = held.join(strings.where("rows > 1").select("cid"), "cid", "left_semi")
     twos = dealt(repeated.toDF("cid", "i", "xs").join(repeated.toDF("cid", "j", "ys"), "cid").where("i <= j"))
@@ -290,8 +299,9 @@ def link(left: DataFrame, right: DataFrame, threshold: float = 0.2, *, token_sor
     a, b = (settle(normalized(t, options, id_col, name_col, null_as_empty)) for t in (left, right))
     strings = numbered_strings(a.select("norm").union(b.select("norm")))
     pairs = string_pairs(strings, threshold, method, rule(rules))
-    both = pairs.union(pairs.select("r", "s", "score")).union(dealt(strings.select("cid", "cid", F.lit(0.0))))
-    return spread(both, blocks(a, strings), blocks(b, strings)).toDF("id_left", "id_right", "score")
+    pairs = settle(pairs) if (many := many_rows(strings)) else pairs
+    both = pairs.union(pairs.select("r", "s", "score")).union(strings.select("cid", "cid", F.lit(0.0)) if many else dealt(strings.select("cid", "cid", F.lit(0.0))))
+    return spread(both, blocks(a, strings), blocks(b, strings), many).toDF("id_left", "id_right", "score")
 
 
 def cluster(names: DataFrame, threshold: float = 0.2, **options) -> DataFrame:
