@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -119,6 +120,43 @@ def test_score_reads_in_order(spark):
         assert math.isclose(r.bits_per_byte, -r.score / math.log10(2) / r.n_bytes)
 
 
+def test_numbers_of_known_words():
+    """The words of a class have numbers in a row over all buckets, told in as many bytes as the class takes."""
+    rng = np.random.default_rng(3)
+    cls = {b: rng.choice([1, 33, 34], 400, p=[0.01, 0.29, 0.7]) for b in (0, 2, 5)}
+    numbers = lm_score.Numbers({b: np.bincount(c, minlength=256) for b, c in cls.items()})
+    items, skip = [], []
+    for b, c in cls.items():
+        own, cut = numbers.items(np.full(len(c), 4), c, numbers.of(b, c))
+        items += own
+        skip += cut.tolist()
+    assert set(skip) == {2} and len(set(items)) == len(items) == 1200
+    for k in (1, 33, 34):
+        own = sorted(int.from_bytes(i[2:], "big") for i in items if i[1] == k)
+        n = sum(int((c == k).sum()) for c in cls.values())
+        assert own == list(range(n)) and {len(i) for i in items if i[1] == k} == {3 if n <= 256 else 4}
+
+
+def test_known_words_are_mixed(spark):
+    """Of two known words of one class, equally often seen, the one that texts of a kind hold costs less in that kind."""
+    rng = random.Random(8)
+    kinds = [["the", "of", "and"], ["der", "und", "die"]]
+    vocabulary = [["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150)] for _ in kinds]
+    text = lambda k: " ".join(w for _ in range(60) for w in (rng.choice(kinds[k]), rng.choice(vocabulary[k])))
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2][:400]
+    rows = [[i, text(n % 2)] for n, i in enumerate(ids)]
+    for n in range(32):  # both stand 16 times, and mostly after "the"
+        rows[n][1] += " der both" if n < 16 and n % 2 else " the both" if n < 16 else " the one"
+    rows[32][1] += " the both"
+    rows[1][1] = rows[1][1].removesuffix(" der both")
+    apart = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [[i, " ".join(["der", w] * 4)] for i, w in zip(apart, ("both", "one"), strict=True)]
+    got = {r.doc_id: r for r in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    both, one = (got[i] for i in apart)
+    assert both.held_out and both.n_known == both.n_tokens == one.n_known and both.base_score == one.base_score
+    assert both.score > one.score + 0.5
+
+
 def test_kinds_follow_neighbours():
     """Frequent words that follow each other are of one kind."""
     links = np.full((9, 9), 1.0)
