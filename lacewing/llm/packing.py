@@ -13,6 +13,7 @@ An empty table gives no rows. Other columns are not read. Memory: the pool, and
 from __future__ import annotations
 
 import contextlib
+import gc
 import json
 import os
 import re
@@ -88,9 +89,10 @@ class WordTokens(dict):
         if not self.plain:
             self.update(zip(fresh, self._encoded(list(fresh)), strict=True))
             return
-        rows = list(fresh)
-        parts = _SMALL.findall("\n".join(rows))
-        runs = {run for run, sign in parts if run and not sign}
+        runs = {w for w in fresh if w.isascii() and w.isalpha() and w.islower()}  # most words
+        rows = list(fresh.difference(runs))
+        parts = _SMALL.findall("\n".join(rows)) if rows else []
+        runs.update(run for run, sign in parts if run and not sign)
         signed = [(w, *part) for w, part in zip(rows, parts, strict=True) if part[1]]
         other = []
         for w in [w for w, (run, _) in zip(rows, parts, strict=True) if not run]:
@@ -168,6 +170,7 @@ class Packer:
         self.limits, self.pool, self.next = np.array([tokens, segments, loss], float), pool, first
         self.waiting: list[tuple] = []  # (doc, start, ids, doc_tokens, loss_from in the document)
         self.demand = np.zeros((pool + tokens + 1, 3))
+        self.tokens = 0  # that wait
 
     def add(self, doc, ids: np.ndarray, loss_from: int = 0) -> Iterator[tuple]:
         at, n = 0, len(ids)
@@ -177,12 +180,9 @@ class Packer:
             at += full
         if at < n:
             self._wait((doc, at, ids[at:], n, loss_from))
-            if len(self.waiting) >= self.pool and self.tokens_waiting() >= min(tokens, loss):  # less than a sequence waits for more
+            if len(self.waiting) >= self.pool and self.tokens >= min(tokens, loss):  # less than a sequence waits for more
                 yield from self._fill()
 
-    def tokens_waiting(self) -> int:
-        return int(self.demand[: len(self.waiting), 0].sum())
-
     def _open(self) -> int:
         self.next += 1
         return self.next - 1
@@ -196,11 +196,13 @@ class Packer:
     def _wait(self, piece: tuple) -> None:
         self.demand[len(self.waiting)] = self._needs(piece)
         self.waiting.append(piece)
+        self.tokens += len(piece[2])
 
     def _take(self, i: int) -> tuple:
         piece, last = self.waiting[i], len(self.waiting) - 1
         self.waiting[i], self.demand[i] = self.waiting[last], self.demand[last]
         self.waiting.pop()
+        self.tokens -= len(piece[2])
         return piece
 
     def _piece(self, piece: tuple, sequence: int, offset: int) -> tuple:
@@ -210,7 +212,8 @@ class Packer:
     def _best(self, left: np.ndarray) -> int | None:
         """The waiting piece that fits with the largest dot product of demand and room, both as shares of the limits."""
         d = self.demand[: len(self.waiting)]
-        score = np.where((d <= left).all(axis=1), (d / self.limits) @ (left / self.limits), -1.0)
+        fits = (d[:, 0] <= left[0]) & (d[:, 1] <= left[1]) & (d[:, 2] <= left[2])
+        score = np.where(fits, d @ (left / self.limits**2), -1.0)
         i = int(score.argmax())
         return i if score[i] >= 0 else None
 
@@ -240,10 +243,10 @@ class Packer:
 
     def finish(self) -> Iterator[tuple]:
         full = int(min(self.limits[0], self.limits[2]))
-        while self.demand[: len(self.waiting), 0].sum() >= full and len(self.waiting) > 1:
+        while self.tokens >= full and len(self.waiting) > 1:
             yield from self._fill()
         while self.waiting:
-            total = int(min(self.demand[: len(self.waiting), 0].sum(), full))
+            total = min(self.tokens, full)
             size = total if total == full else 1 << (total.bit_length() - 1)
             sequence, offset = self._open(), 0
             room = int(self.limits[1])
@@ -266,7 +269,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     schema = arrow_schema(PIECE)
 
-    def run(batches):
+    def packed(batches):
         from pyspark import TaskContext
 
         if tokenizer not in _tokens:
@@ -288,6 +291,13 @@ def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         if rows:
             yield batch_of(rows)
 
+    def run(batches):
+        gc.disable()  # nothing here refers to itself, and the collector would go through all words again and again
+        try:
+            yield from packed(batches)
+        finally:
+            gc.enable()
+
     return lean_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(prompt_col) if prompt_col else F.lit(None)).cast("long").alias("prompt")), run, PIECE)
 
 

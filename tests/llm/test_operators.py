@@ -140,6 +140,16 @@ def test_packing_asks_the_old_store(monkeypatch):
     assert len(asked) == len(set(asked)) and "x1y" in asked  # none is tokenized twice
 
 
+def test_packing_counts_what_waits():
+    """Without going through the pool again, and without the collector while a partition is packed."""
+    packer = packing.Packer(0, 64, 8, 64, 4)
+    for doc, n in enumerate([5, 70, 30, 63, 1, 40, 64, 9]):
+        list(packer.add(doc, np.arange(n, dtype="<u4")))
+        assert packer.tokens == sum(len(p[2]) for p in packer.waiting) == packer.demand[: len(packer.waiting), 0].sum()
+    list(packer.finish())
+    assert packer.tokens == 0 and not packer.waiting
+
+
 def test_substring_dedup(spark, docs, unique):
     df = spark.createDataFrame(unique, "doc_id long, text string")
     first = {}
