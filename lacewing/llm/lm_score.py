@@ -3,12 +3,13 @@
 A text is coded token after token. Each token has a class of eight bits: the kind of text in which its word mostly stands
 (its home) and how often it stands in training, on a logarithmic scale; unknown words share a class of their own, and so does
 the end of a text. The bits of a class are coded in the contexts of the classes before it, so the model reads across words
-and a text in another order costs another sum. A known word then costs its share of its class; an unknown one is spelled,
-byte by byte and bit by bit, in the contexts of the bytes before and of the kind of text that went before. What the model
-learns of a training token it learns without that token: its class is that of one occurrence less, so words seen once
-count as unknown there, and teach the spelling.
+and a text in another order costs another sum. A known word then is told by its number in its class, byte by byte and bit by
+bit, in the contexts of the bytes of the number before, of the class and of the kind of text that went before; an unknown
+one is spelled, likewise, in the contexts of the bytes before and of that kind. What the model learns of a training token it
+learns without that token: its class is that of one occurrence less, so words seen once count as unknown there, and teach
+the spelling; in its number, one occurrence is left out of the counts.
 
-Both levels use one coder. For each bit, four predictors look up how often a 0 and a 1 followed the last one to four bytes,
+All three levels use one coder. For each bit, four predictors look up how often a 0 and a 1 followed the last one to four bytes,
 in hashed tables; a mixer weights their log odds with a set of weights chosen by a gate (the longest context that is known,
 and how often it was seen), learnt online over all training items, in each partition, and averaged; a last table refines
 the mixed odds adaptively. Every case is predicted without itself while the mixer learns.
@@ -18,7 +19,7 @@ a token is that of the last frequent word before it in its text.
 
 Documents are read in blocks. A block's distinct (word, kind) pairs go to buckets of words by hash, which add up counts and
 answer each block in its own order; so no word is bound to a prefix or a document, and nothing that grows is broadcast: only
-two tables of at most sum(SLOTS) slots. Colliding contexts share a slot, as in any hashed context model.
+three tables of at most sum(SLOTS) slots, and how many words of each class a bucket has. Colliding contexts share a slot, as in any hashed context model.
 
 Null and empty texts: only the end token. A null doc_id counts as an empty one. Repeated rows count as often as they stand.
 Very long words are spelled in pieces. With no training documents, counts are 0 and all bits cost a half. An empty table
@@ -64,6 +65,17 @@ def opened(data: bytes) -> dict:
     return pickle.loads(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))  # noqa: S301  our own table
 
 
+class Shipped:
+    """An array for all workers, compressed on the way: Spark writes what is broadcast to a file on every machine."""
+
+    def __init__(self, spark, array: np.ndarray):
+        self.data = spark.sparkContext.broadcast(packed(array=array))
+
+    @property
+    def value(self) -> np.ndarray:
+        return opened(self.data.value)["array"]
+
+
 class Coded:
     """The bits of items: of item i, the bytes from skip[i] on are coded, those before are context alone."""
 
@@ -232,12 +244,13 @@ def _fit(items_of, tables, step: int = 1 << 15):
     schema = pa.schema([("seen", pa.float64()), ("weights", pa.binary()), ("hits", pa.binary())])
 
     def run(batches):
-        mixer, hits, seen, turn = Mixer(), np.zeros((2, GATES * STEPS)), 0.0, 0
+        mixer, hits, seen, turn, counts = Mixer(), np.zeros((2, GATES * STEPS)), 0.0, 0, None
         for batch in batches:
             for items, skip, weight in items_of(batch):
                 for at, part, cut, whose in _pieces(items, skip):
                     bits = Coded(part, cut)
-                    x, gate = inputs(bits, tables.value, True)
+                    counts = tables.value if counts is None else counts
+                    x, gate = inputs(bits, counts, True)
                     w = weight[at + whose][bits.of].astype(np.float64)
                     for lo in range(0, len(gate), step):
                         s = slice(lo, lo + step)
@@ -258,7 +271,7 @@ def model_of(rows: DataFrame, items_of) -> Model:
     tables = np.zeros((STARTS[-1] // PART, 2, PART), np.float32)
     for k, raw in own.toLocalIterator():
         tables[k] = np.frombuffer(bytes(raw), np.float32).reshape(2, PART)
-    shipped = spark.sparkContext.broadcast(np.ascontiguousarray(tables.transpose(1, 0, 2)).reshape(2, -1))
+    shipped = Shipped(spark, np.ascontiguousarray(tables.transpose(1, 0, 2)).reshape(2, -1))
     runs = settle(lean_map(rows, _fit(items_of, shipped), "seen double, weights binary, hits binary")).toLocalIterator()
     total, weights, hits = 0.0, np.zeros((GATES, INPUTS)), np.zeros((2, GATES * STEPS))
     for r in runs:
@@ -423,16 +436,18 @@ def _by(batches, column):
 
 def _lexicon(batches):
     """The words of each bucket with their training counts by kind."""
-    schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("sums", pa.list_(pa.int64()))])
+    schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("words", pa.binary())])
     place = Places()
     count, bucket = np.zeros((1 << 12, KINDS + 1), np.int64), None
 
     def out():
         n = count[: len(place)]
         total, cls, less = n.sum(axis=1), class_of(n, list(place)), class_of(n, list(place), 1)
-        sums = np.bincount(cls, total, 256).astype(np.int64)
-        data = packed(words=list(place), n=total, cls=cls, less=less, kind=n.argmax(axis=1).astype(np.uint8))
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())]), pa.array([sums.tolist()], pa.list_(pa.int64()))], schema=schema)
+        known = np.bincount(cls, minlength=256).astype(np.int64).tobytes()
+        word, kind = np.nonzero(n)
+        by = (word.astype(np.int32), kind.astype(np.uint8), n[word, kind])
+        data = packed(words=list(place), n=total, cls=cls, less=less, kind=n.argmax(axis=1).astype(np.uint8), by=by)
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())]), pa.array([known], pa.binary())], schema=schema)
 
     for batch in batches:
         for b, raw in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
@@ -472,25 +487,79 @@ def _singles(batch):
             yield [spelled(found["words"][i], int(found["kind"][i])) for i in at.tolist()], np.ones(len(at), np.int64), np.ones(len(at))
 
 
-def _answers(letters: Model, sums: np.ndarray):
+class Numbers:
+    """The known words of a class have numbers in a row over all buckets, of as many bytes as the class takes."""
+
+    def __init__(self, words: dict[int, np.ndarray]):
+        """words: of each bucket how many words each class has."""
+        order = sorted(words)
+        table = np.array([words[b] for b in order], np.int64).reshape(-1, 256)
+        self.first = dict(zip(order, np.cumsum(table, axis=0) - table, strict=True))
+        most = table.sum(axis=0) - 1
+        self.width = 1 + (most >= 1 << 8).astype(np.int64) + (most >= 1 << 16) + (most >= 1 << 24) + (most >= 1 << 32)
+
+    def of(self, bucket: int, cls: np.ndarray) -> np.ndarray:
+        """The number of each word of a bucket, by their classes in order."""
+        order = np.argsort(cls, kind="stable")
+        size = np.bincount(cls, minlength=256)
+        rank = np.empty(len(cls), np.int64)
+        rank[order] = np.arange(len(cls)) - np.repeat(np.cumsum(size) - size, size)
+        return self.first[bucket][cls] + rank
+
+    def items(self, kind: np.ndarray, cls: np.ndarray, number: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Kind, class and number as items of the coder, of which the number is coded."""
+        width = self.width[cls]
+        rows = np.empty((len(cls), 10), np.uint8)
+        rows[:, 0], rows[:, 1] = kind, cls
+        rows[:, 2:] = (number << 8 * (8 - width)).astype(">u8").view(np.uint8).reshape(-1, 8)  # its bytes first
+        raw = rows.tobytes()
+        return [raw[a : a + n] for a, n in zip(range(0, len(raw), 10), (2 + width).tolist(), strict=True)], np.full(len(cls), 2)
+
+
+def is_known(cls: np.ndarray) -> np.ndarray:
+    return (cls != NEW) & (cls != LAST)
+
+
+def _known(numbers):
+    """The known words of training, with the kinds in which they stand, as items of the level of numbers."""
+
+    def of(batch):
+        for bucket, raw in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
+            found = opened(raw)
+            cls, (word, kind, n) = found["cls"], found["by"]
+            number = numbers.value.of(bucket, cls)
+            at = np.flatnonzero(is_known(cls[word]))
+            at = at[np.argsort(mixed(np.arange(len(at), dtype=np.uint64) + np.uint64(1), 3))]
+            for lo in range(0, len(at), WIDTH):
+                some = at[lo : lo + WIDTH]
+                own = word[some]
+                yield *numbers.value.items(kind[some], cls[own], number[own]), n[some].astype(np.float64)
+
+    return of
+
+
+def _answers(letters: Model, ranks: Model, numbers):
     """For each block's request: the class of each pair's word, its training count, and the cost of the word in its class."""
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
-    share = np.log10(np.maximum(sums, 1))
 
     def run(batches):
         place: dict[bytes, int] = {}
-        n = cls = less = bucket = None
+        n = cls = less = bucket = number = told = None
         for batch in batches:
             for block, b, raw in zip(batch["block"].to_pylist(), batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
                 found = opened(raw)
                 if block is None:
                     bucket, place = b, {w: i for i, w in enumerate(found["words"])}
-                    n, cls, less = found["n"], found["cls"], found["less"]
+                    n, cls, less, number = found["n"], found["cls"], found["less"], numbers.value.of(b, found["cls"])
+                    told = np.full((len(n), KINDS + 1), np.nan, np.float32)  # costs are the same for all blocks
                     continue
                 assert b == bucket
-                at = np.fromiter(map(place.__getitem__, found["words"]), np.int64, len(found["words"]))
+                at, kind = np.fromiter(map(place.__getitem__, found["words"]), np.int64, len(found["words"])), found["kind"].astype(np.int64)
                 own, c = cls[at], n[at]
-                rest = np.where(own == LAST, 0.0, np.log10(np.maximum(c, 1)) - share[own])
+                ask = np.flatnonzero(is_known(own) & np.isnan(told[at, kind]))
+                if len(ask):
+                    told[at[ask], kind[ask]] = ranks.cost(*numbers.value.items(kind[ask], own[ask], number[at[ask]]))
+                rest = np.where(is_known(own), told[at, kind], 0.0)
                 new = np.flatnonzero(own == NEW)
                 if len(new):
                     items = [spelled(found["words"][i], int(found["kind"][i])) for i in new.tolist()]
@@ -584,14 +653,13 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
         buckets = min(most_buckets, max(1, blocks.rdd.getNumPartitions(), docs.rdd.getNumPartitions()))
         asked = settle(lean_map(blocks, _asked(kinds, buckets), "block long, bucket int, data binary"))
         deal = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", "data")
-        lexicon = settle(lean_map(deal, _lexicon, "bucket int, data binary, total long, distinct long, sums array<long>"))
+        lexicon = settle(lean_map(deal, _lexicon, "bucket int, data binary, total long, distinct long, words binary"))
         total, distinct = lexicon.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-        sums = np.zeros(256)
-        for cls, n in lexicon.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col")).collect():
-            sums[cls] = n
-        letters = model_of(lexicon.select("data").repartition(min(buckets, MOST_RUNS)), _singles)
+        numbers = docs.sparkSession.sparkContext.broadcast(Numbers({b: np.frombuffer(bytes(raw), np.int64) for b, raw in lexicon.select("bucket", "words").toLocalIterator()}))
+        words = lexicon.select("bucket", "data").repartition(min(buckets, MOST_RUNS))
+        letters, ranks = model_of(words, _singles), model_of(words, _known(numbers))
         both = lexicon.select(F.lit(None).cast("long").alias("block"), "bucket", "data").unionByName(asked)
-        told = lean_map(both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("block")), _answers(letters, sums), "block long, bucket int, data binary")
+        told = lean_map(both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("block")), _answers(letters, ranks, numbers), "block long, bucket int, data binary")
         joined = told.unionByName(blocks.withColumn("bucket", F.lit(None).cast("int"))).repartition(buckets, "block").sortWithinPartitions("block")
         whole = kept(lean_map(joined, _assembled(kinds, buckets, total + 1.0 * (distinct + 1)), "data binary"))
         counts = settle(lean_map(whole, _class_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
