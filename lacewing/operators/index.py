@@ -16,7 +16,7 @@ from lacewing.plans.budget import max_edits, segment_length, segment_start, stor
 from lacewing.plans.numbering import numbered_rows
 from lacewing.plans.tables import settle
 
-from .matching import BRUTE_FROM, OFTEN, all_near, blocks, compared, lengths_of, measured, numbered_strings, rule
+from .matching import BRUTE_FROM, OFTEN, all_near, blocks, compared, lengths_of, measured, numbered_strings, rule, spread
 
 FORMAT, VERSION = "lacewing-index", 1
 TRIED = 100  # strings that are looked up first, to tell whether segments tell little apart
@@ -128,6 +128,17 @@ class NameIndex:
         told = strings.join(found, strings["cid"] == found["s"]).select("norm", "h")
         return asked.join(told, "norm", "left").select(F.col("id").alias("query_id"), F.coalesce("h", F.array().cast("array<struct<id:bigint,score:double>>")).alias("hits"))
 
+    def query_rows(self, names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
+        """(query_id, id, score): a row for each hit of query_many, and one with nulls for a row without hits. The rows of a
+        name and those that it finds go in blocks, so hits are made where they are returned."""
+        asked = settle(self._asked(names, id_col, name_col))
+        strings, pairs, held = self._pairs(asked)
+        pairs = settle(pairs)
+        found = strings.join(pairs, strings["cid"] == pairs["s"], "left_semi").select("norm")
+        none = asked.join(found, "norm", "left_anti").select(F.col("id").alias("query_id"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("score"))
+        rows = blocks(asked.where("norm IS NOT NULL"), strings)
+        return spread(pairs, rows, held.withColumnRenamed("r", "cid"), True).toDF("query_id", "id", "score").unionByName(none)
+
     def hits(self, names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
         """(query_id, id, score)."""
         asked = self._asked(names, id_col, name_col).distinct()
@@ -139,8 +150,13 @@ class NameIndex:
         return names.select(F.col(id_col).cast("long").alias("id"), normalize(F.col(name_col).cast("string"), self.settings.normal).alias("norm"))
 
     def _found(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The different names asked for, by number, and (s, id, score) of what each finds. Equal stored names are compared
-        once."""
+        """The different names asked for, by number, and (s, id, score) of what each finds."""
+        strings, pairs, held = self._pairs(asked)
+        return strings, pairs.join(held, "r").select("s", F.explode("ids").alias("id"), "score")
+
+    def _pairs(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The different names asked for, by number, the pairs (s, r, score) of one and a stored name within the threshold, and
+        (r, ids), the ids of each stored name. Equal stored names are compared once."""
         t, rules = self.settings.threshold, self.settings.rules
         stored = self._read("names", "id long, name string, norm string").select("id", "norm")
         strings = numbered_strings(asked.where("norm IS NOT NULL"))
@@ -149,13 +165,13 @@ class NameIndex:
             rows = stored.where("norm IS NOT NULL")
             held = numbered_strings(rows)
             pairs = all_near(strings, held, t) if ok is None else compared(measured(strings, t), measured(held, t), ok)
-            return strings, pairs.join(blocks(rows, held), F.col("r") == F.col("cid")).select("s", F.explode("ids").alias("id"), "score")
+            return strings, pairs, blocks(rows, held).select(F.col("cid").alias("r"), "ids")
         met = self._meet(strings).unionByName(strings.where("norm = ''").select(F.col("cid").alias("s")).join(stored.where("norm = ''").select("id"))).distinct()
         met = met.join(stored.withColumnRenamed("norm", "r_norm"), "id").join(strings.select(F.col("cid").alias("s"), F.col("norm").alias("s_norm")), "s").select("s", "s_norm", "r_norm").distinct()
         longest = F.greatest(F.length("s_norm"), F.length("r_norm"))
         score = F.when(longest == 0, F.lit(0.0)).otherwise(F.expr(f"levenshtein(s_norm, r_norm, cast({t!r} * greatest(length(s_norm), length(r_norm)) as int) + 1)") / longest)
-        pairs = met.withColumn("score", score).where((F.col("score") >= 0) & (F.col("score") <= F.lit(t))).where(F.lit(True) if ok is None else ok).select("s", F.col("r_norm").alias("norm"), "score")
-        return strings, pairs.join(stored, "norm").select("s", "id", "score")
+        pairs = met.withColumn("score", score).where((F.col("score") >= 0) & (F.col("score") <= F.lit(t))).where(F.lit(True) if ok is None else ok).select("s", F.col("r_norm").alias("r"), "score")
+        return strings, pairs, stored.select(F.col("norm").alias("r"), F.array("id").alias("ids"))
 
     def _meets_often(self, strings: DataFrame) -> bool:
         """Whether the segments of many names are common, so that comparing all costs less; the result is the same."""

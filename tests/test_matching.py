@@ -110,6 +110,17 @@ def test_cli_link_version_stdout(spark, tmp_path, capsys):
     assert done.value.code == 0 and "lacewing" in capsys.readouterr().out
 
 
+@pytest.mark.parametrize("t", [0.2, 0.6])
+def test_query_rows_are_those_of_query_many(spark, tmp_path, t):
+    """Repeated rows, null and empty names included; a query without hits has a row of nulls."""
+    index = NameIndex.build(frame(spark, ["ring", "rings", "ring", "", "wheel"]), str(tmp_path / "index"), Settings(t))
+    asked = spark.createDataFrame([(1, "ring"), (2, "rinks"), (2, "rinks"), (3, None), (4, ""), (5, "zzzzzzzzzz")], "id long, name string")
+    many = index.query_many(asked).select("query_id", F.explode_outer("hits").alias("h")).select("query_id", "h.id", "h.score")
+    key = lambda r: (r.query_id, -1 if r.id is None else r.id)
+    got = sorted(map(tuple, sorted(index.query_rows(asked).collect(), key=key)), key=str)
+    assert got == sorted(map(tuple, many.collect()), key=str) and (5, None, None) in got and (3, None, None) in got
+
+
 def test_query_many_keeps_all_queries(spark, tmp_path):
     index = NameIndex.build(frame(spark, FIVE), str(tmp_path / "index"), Settings(0.2))
     asked = spark.createDataFrame([(7, "acme ltd"), (8, "nothing like it"), (9, "acme ltd"), (10, "")], "id long, name string")
